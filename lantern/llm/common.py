@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,3 +44,17 @@ def ranked(df: DataFrame, *order) -> tuple[DataFrame, int]:
     offsets = F.array(*[F.lit(x).cast("long") for x in starts])
     at_row = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     return placed.withColumn("rank", F.element_at(offsets, (part + 1).cast("int")) + at_row).drop("__at"), total
+
+
+def interval(value: Column, cuts: list) -> Column:
+    """Number of sorted cuts that are at most ``value`` (null: 0), by halving; the expression stays small for many cuts."""
+    if not cuts:
+        return F.lit(0)
+    table = F.array(*[F.lit(c) for c in cuts])
+    halves = F.array(*[F.lit(1 << b) for b in range(len(cuts).bit_length() - 1, -1, -1)])
+
+    def climb(at: Column, step: Column) -> Column:
+        up = at + step
+        return F.when((up <= len(cuts)) & (F.try_element_at(table, up) <= value), up).otherwise(at)
+
+    return F.coalesce(F.aggregate(halves, F.lit(0), climb), F.lit(0))

@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lantern.llm import chat, media, secrets, sharding
+from lantern.llm import chat, fingerprints, media, secrets, sharding
 from lantern.llm.common import read
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(read(spark, sf_dir, "documents", "doc_id", "text"), BPE_RANKS, public_tokenizers.PATTERN)
 
@@ -32,7 +36,7 @@ def op7_mpeg_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secret_scan, op3_chat_format, op4_hilbert_shards, op7_mpeg_ts)
+    f.__name__: f for f in (op1_multiset_hash, op2_secret_scan, op3_chat_format, op4_hilbert_shards, op7_mpeg_ts)
 }
 
 ORACLES: dict[str, str] = {}

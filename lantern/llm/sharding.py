@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.common import ranked
+from lantern.llm.common import interval, ranked
 
 BITS = 6
 SHARDS = 16
@@ -86,16 +86,7 @@ def quantile_level(df: DataFrame, column: str, bits: int = BITS) -> Column:
     parts = 1 << bits
     shares = [k / parts for k in range(1, parts)]
     cuts = df.agg(F.percentile_approx(F.col(column).cast("double"), shares, 10_000)).first()[0] or []
-    cuts = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
-    halves = F.array(*[F.lit(1 << b) for b in range(bits - 1, -1, -1)])
-    value = F.col(column).cast("double")
-
-    def climb(at: Column, step: Column) -> Column:
-        up = at + step
-        fits = (up <= F.size(cuts)) & (F.try_element_at(cuts, up) <= value)
-        return F.when(fits, up).otherwise(at)
-
-    return F.coalesce(F.aggregate(halves, F.lit(0), climb), F.lit(0)).cast("long")
+    return interval(F.col(column).cast("double"), [float(c) for c in cuts]).cast("long")
 
 
 def hash_level(column: str, bits: int = BITS) -> Column:
