@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lantern.llm import chat, fingerprints, media, secrets, sharding, simhash
+from lantern.llm import bpe, chat, fingerprints, media, secrets, sharding, simhash
 from lantern.llm.common import read
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +31,10 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(read(spark, sf_dir, "documents", "doc_id", "text"), BPE_JSON, public_tokenizers.PATTERN)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -40,7 +44,7 @@ def op7_mpeg_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_multiset_hash, op2_secret_scan, op3_chat_format, op4_hilbert_shards, op6_simhash, op7_mpeg_ts)
+    f.__name__: f for f in (op1_multiset_hash, op2_secret_scan, op3_chat_format, op4_hilbert_shards, op5_bpe, op6_simhash, op7_mpeg_ts)
 }
 
 ORACLES: dict[str, str] = {}
