@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lantern.llm import bpe, chat, fingerprints, media, secrets, sharding, simhash
+from lantern.llm import bpe, chat, fingerprints, lines, media, secrets, sharding, simhash
 from lantern.llm.common import read
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -43,8 +43,12 @@ def op7_mpeg_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_documents(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_multiset_hash, op2_secret_scan, op3_chat_format, op4_hilbert_shards, op5_bpe, op6_simhash, op7_mpeg_ts)
+    f.__name__: f for f in (op1_multiset_hash, op2_secret_scan, op3_chat_format, op4_hilbert_shards, op5_bpe, op6_simhash, op7_mpeg_ts, op9_line_templates)
 }
 
 ORACLES: dict[str, str] = {}
@@ -68,3 +72,31 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS n_attachment_tokens
 FROM e GROUP BY conv_id
 """
+
+#: Lines that are left of each text, as the dedup stage needs them too. ``docs`` stands for the input.
+LINES = r"""
+l AS (
+  SELECT doc_id, pos, regexp_replace(array_to_string(list_filter(regexp_split_to_array(line, '[ \t\r\f]+'), lambda x: x <> ''), ' '), '\S*[0-9]\S*', '<*>', 'g') AS masked
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM docs)
+), p AS (SELECT *, string_split(masked, ' ') AS t FROM l WHERE len(string_split(masked, ' ')) >= 5),
+c AS (
+  SELECT masked, any_value(t) AS t, min({'d': doc_id, 'p': pos}) AS first, max(doc_id) AS last, count(*) AS n,
+    any_value(len(t) || ' ' || array_to_string(t[1:3], ' ')) AS leaf
+  FROM p GROUP BY masked
+), k AS (SELECT leaf, pos, token, sum(n) AS n FROM (SELECT leaf, n, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM c) GROUP BY ALL),
+m AS (SELECT leaf, list(token ORDER BY pos) AS profile FROM (SELECT leaf, pos, max({'n': n, 't': token}).t AS token FROM k GROUP BY leaf, pos) GROUP BY leaf),
+j AS (
+  SELECT c.*, CASE WHEN len(list_filter(list_zip(t, profile), lambda z: z[1] = z[2])) >= 0.7 * len(t) THEN leaf ELSE leaf || '= ' || masked END AS template
+  FROM c JOIN m USING (leaf)
+), w AS (SELECT template, min(first) AS owner, max(last) AS last FROM j GROUP BY template HAVING min(first).d <> max(last)),
+g AS (SELECT DISTINCT p.doc_id, p.pos FROM p JOIN j USING (masked) JOIN w USING (template) WHERE {'d': p.doc_id, 'p': p.pos} <> w.owner),
+kept AS (
+  SELECT s.doc_id, string_agg(s.line, chr(10) ORDER BY s.pos) FILTER (g.pos IS NULL) AS text, count(*) AS n_lines, count(g.pos) AS n_dropped
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM docs) s
+  LEFT JOIN g ON g.doc_id = s.doc_id AND g.pos = s.pos GROUP BY s.doc_id
+)"""
+
+ORACLES["op9_line_templates"] = f"""
+WITH docs AS (SELECT * FROM documents), {LINES}
+SELECT doc_id, n_lines, n_dropped, CAST(length(coalesce(text, '')) AS BIGINT) AS kept_chars, sha256(coalesce(text, '')) AS kept_sha256 FROM kept
+"""
