@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lantern.llm import bpe, chat, fingerprints, lines, media, secrets, sharding, simhash
+from lantern.llm import bpe, chat, fingerprints, language, lines, media, packing, secrets, sharding, simhash
 from lantern.llm.common import read
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -43,12 +44,24 @@ def op7_mpeg_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_documents(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_multiset_hash, op2_secret_scan, op3_chat_format, op4_hilbert_shards, op5_bpe, op6_simhash, op7_mpeg_ts, op9_line_templates)
+    f.__name__: f for f in (op1_multiset_hash, op2_secret_scan, op3_chat_format, op4_hilbert_shards, op5_bpe, op6_simhash, op7_mpeg_ts, op8_best_fit, op9_line_templates, op10_language, pipeline)
 }
 
 ORACLES: dict[str, str] = {}

@@ -167,3 +167,99 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """One row per document with its fingerprint in hex and its component."""
     out = near_components(documents, 3)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near duplicates at a similarity: SimHash of the whole text filters, partial fingerprints find candidates.
+
+SIMILARITY, WIDTH = 0.8, 5
+#: Bits by which fingerprints of texts at the similarity or above may differ: at 0.8 the mean is 10 and the deviation 3.
+FILTER_BITS = 22
+
+
+def partial_fingerprints(h: np.ndarray) -> list[int]:
+    """Fingerprints of the classes into which a text's distinct shingles fall by their own hash.
+
+    There are 2**L and 2**(L+1) classes, of some 4 to 15 shingles each, more in longer texts. Texts at a similarity of 0.8 share a
+    level at least, and at that level about a third of the classes whole. A text without words has one class.
+    """
+    h = np.unique(h)
+    n = len(h)
+    level = max(0, int(np.log2(max(1.0, n / (2.2 * max(n, 1) ** 0.25)))))
+    out = []
+    for lv in (level, level + 1):
+        place = (h >> np.uint64(40)) & np.uint64((1 << lv) - 1)
+        # The sum over a scrambled class is equal for equal classes; the level and the class enter too.
+        mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        sums = np.zeros(1 << lv, np.uint64)
+        np.add.at(sums, place.astype(np.int64), mixed ^ (mixed >> np.uint64(32)))
+        for c in np.unique(place).tolist() if n else [0]:
+            out.append(_signed(xxhash.xxh64_intdigest(f"{lv}:{c}:{sums[c]}".encode(), SEED)))
+    return out
+
+
+def _sketches(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                hs = [hashes(t, width) for t in part.column(1).to_pylist()]
+                cols = [part.column(0), part.column(2), pa.array([_signed(simhash(h)) for h in hs], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([partial_fingerprints(h) for h in hs], pa.list_(pa.int64()))], ["doc_id", "th", "fp", "keys"])
+
+    return run
+
+
+def _shingle_sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [np.unique(hashes(t, width)).astype(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "grams"])
+
+    return run
+
+
+def similar_groups(documents: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, group): texts whose word shingles are similar, directly or over others; group is the least doc_id.
+
+    Equal texts collapse first, however many there are. A class of shingles that two different texts share makes each of its texts a
+    candidate with the least text of the class, and with the least one of those whose fingerprints agree in eight bits that
+    the class chooses, so candidates grow with the rows and not with their pairs. Fingerprints too far apart for the
+    similarity are let go, and the rest is verified exactly on the whole sets of shingles. doc_id must tell rows apart;
+    rows that share one share a group. Wordless and null texts form one group. A null doc_id is its own group's id only if no other is there.
+    """
+    rows = documents.select("doc_id", "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("th"))
+    sketches = checkpointed(rows.mapInArrow(_sketches(width), "doc_id long, th string, fp long, keys array<long>"))
+    copies = checkpointed(sketches.groupBy("th").agg(F.min("doc_id").alias("rep")))
+    least = sketches.join(copies, "th").where(F.col("doc_id") == F.col("rep")).select("rep", "fp", "keys").dropDuplicates(["rep"])
+    members = least.select("rep", "fp", F.explode("keys").alias("key"))
+    shared = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key")
+    met = checkpointed(members.join(checkpointed(shared), "key", "left_semi"))
+    band = F.lit(0).cast("long")
+    for k in range(8):
+        eight = F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255).cast("long"))
+        band = F.when(F.col("key").bitwiseAND(F.lit(7).cast("long")) == k, eight).otherwise(band)
+    both = met.select("rep", "fp", F.explode(F.array(F.col("key"), F.xxhash64("key", band))).alias("key"))
+    stars = checkpointed(both.groupBy("key").agg(F.min(F.struct("rep", "fp")).alias("star")))
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("star.fp")))
+    pairs = both.join(stars, "key").where((F.col("rep") != F.col("star.rep")) & (apart <= FILTER_BITS))
+    pairs = checkpointed(pairs.select(F.col("rep").alias("a"), F.col("star.rep").alias("b")).distinct())
+    wanted = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    texts = documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = checkpointed(texts.mapInArrow(_shingle_sets(width), "doc_id long, grams array<long>"))
+    one, two = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - common
+    alike = pairs.join(one, "a").join(two, "b").where((union == 0) | (common >= similarity * union)).select("a", "b")
+    roots = checkpointed(components(alike))
+    named = copies.join(roots, copies["rep"] == roots["v"], "left").select("th", F.coalesce("root", "rep").alias("group"))
+    return sketches.select("doc_id", "th").join(checkpointed(named), "th").select("doc_id", "group")
+
+
+def keep_one(documents: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents without near duplicates: of each group the row with the least doc_id stays, whole; columns are as before."""
+    groups = similar_groups(documents, width, similarity)
+    stay = groups.groupBy("group").agg(F.min("doc_id").alias("doc_id")).select(F.col("doc_id").alias("__stay"))
+    kept = documents.join(checkpointed(stay), documents["doc_id"].eqNullSafe(F.col("__stay")), "left_semi")
+    return kept.dropDuplicates(["doc_id"])
