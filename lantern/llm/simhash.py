@@ -4,7 +4,8 @@ Fingerprints are majority votes over hashes of word shingles. To link fingerprin
 mapped to its bit counts in equal segments. Counts of two fingerprints that differ in d bits are at most d apart in
 Manhattan distance, so the counts are a lower bound. For d up to 2 there is always a lattice point at distance 1 or less
 from both, so the range join on the grid is an equi-join on such midpoints: a fingerprint goes to its own cell and to its
-``2 * segments`` neighbours, and only fingerprints that meet another one in a cell stay candidates.
+``2 * segments`` neighbours, and only fingerprints that meet another one in a cell stay candidates. Those are mapped once more,
+with other segments, which lets go nearly all that met by chance.
 
 Candidates are verified exactly, by the same midpoints on the finest grid, of segments of one bit: there, Manhattan
 distance is Hamming distance, so two candidates share a point if and only if they differ in 2 bits or fewer. A point has
@@ -108,14 +109,29 @@ def _met(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
 
 
+def _turned(df: DataFrame) -> DataFrame:
+    """(fp, bits): the 64 bits as an 8 by 8 square, turned about its diagonal, so that new segments mix all old ones."""
+    out = df.select("fp", F.col("fp").alias("bits"))
+    for step, mask in ((7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0x00000000F0F0F0F0)):
+        moved = F.col("bits").bitwiseXOR(F.shiftrightunsigned("bits", step)).bitwiseAND(F.lit(mask).cast("long"))
+        out = out.withColumn("t", moved).select("fp", F.col("bits").bitwiseXOR(F.col("t")).bitwiseXOR(F.shiftleft("t", step)).alias("bits"))
+    return out
+
+
+def _meeting(df: DataFrame) -> DataFrame:
+    """The fingerprints of (fp, bits) whose counts over the segments of ``bits`` share a cell with those of another one."""
+    cells = df.select("fp", F.explode(_cells(segment_counts(F.col("bits")))).alias("key"))
+    shared = _met(cells).select("key")
+    return checkpointed(cells.join(shared, "key", "left_semi").select("fp").distinct())
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b), a > b, that connect all distinct fingerprints ``fp`` at a distance of 2 bits or fewer.
 
     Every edge is a true link; links between members of one point are implied by their common edge to its least member.
     """
-    cells = distinct.select("fp", F.explode(_cells(segment_counts(F.col("fp")))).alias("key"))
-    shared = _met(cells).select("key")
-    candidates = checkpointed(cells.join(shared, "key", "left_semi").select("fp").distinct())
+    candidates = _meeting(distinct.select("fp", F.col("fp").alias("bits")))
+    candidates = _meeting(_turned(candidates))
     points = candidates.select("fp", F.explode(_points(F.col("fp"))).alias("key"))
     stars = points.groupBy("key").agg(F.min("fp").alias("b"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
     return stars.select("b", F.explode("all").alias("a")).where("a <> b").select("a", "b").distinct()
