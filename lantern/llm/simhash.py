@@ -138,7 +138,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(v, root): the least vertex that each vertex of the edges reaches, by alternating large-star and small-star steps.
+    """(v, root): the least vertex that each vertex of the edges reaches, but for the least ones themselves, by alternating large-star and small-star steps.
 
     Each round is two aggregations and joins over the remaining edges; lineage is cut through the shared folder.
     """
