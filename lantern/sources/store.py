@@ -50,7 +50,7 @@ class VersionedTable:
         self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, list(keys)
 
     def _pointer(self) -> str:
-        return f"{self.path}/_current"
+        return f"{self.path}/current.json"
 
     def version(self) -> str | None:
         if not exists(self.spark, self._pointer()):
