@@ -6,6 +6,8 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,28 +100,33 @@ def format_message(sender: Column, reply_to: Column, text: Column) -> Column:
     return F.concat(message_prefix(sender, reply_to), text)
 
 
-def bin_ids(sizes: Column, budget: int) -> Column:
-    """Bin of each item of an ordered array of sizes: consecutive items fill a bin up to the budget; one above it has its own bin."""
-    zero = F.struct(F.lit(-1).alias("bin"), F.lit(0).alias("sum"), F.lit(False).alias("open"), F.array().cast("array<int>").alias("out"))
+def bin_ids(sizes: list[int], budget: int) -> list[int]:
+    """Bin of each item of an ordered list of sizes: consecutive items fill a bin up to the budget; one above it has its own bin."""
+    out, bin_, total, open_ = [], -1, 0, False
+    for n in sizes:
+        if open_ and n <= budget and total + n <= budget:
+            total += n
+        else:
+            bin_, total = bin_ + 1, n
+        open_ = n <= budget
+        out.append(bin_)
+    return out
 
-    def step(a: Column, n: Column) -> Column:
-        joins = a["open"] & (n <= budget) & (a["sum"] + n <= budget)
-        now = F.when(joins, a["bin"]).otherwise(a["bin"] + 1)
-        return F.struct(
-            now.alias("bin"), F.when(joins, a["sum"] + n).otherwise(n).alias("sum"), (n <= budget).alias("open"), F.concat(a["out"], F.array(now)).alias("out")
-        )
 
-    return F.aggregate(sizes, zero, step)["out"]
+def pack_rows(df: DataFrame, keys: list[str], order: list[str], size: Column, budget: int, out: str = "bin") -> DataFrame:
+    """Bin of every row among the rows of its keys, in order; ``order`` must tell the rows of a key apart.
+
+    The fold is sequential by nature, so it sees only places and sizes, a few bytes a row; texts are joined back by key
+    and place, and Spark splits that join where a key is skewed.
+    """
+    places = df.select(*keys, *order, size.cast("int").alias("__n"))
 
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [(c, "ascending") for c in order]))
+        return table.drop_columns("__n").append_column(out, pa.array(bin_ids(table["__n"].to_pylist(), budget), pa.int32()))
 
-def pack_rows(df: DataFrame, keys: list[str], order: list[str], size: Column, budget: int, out: str = "bin") -> DataFrame:
-    """Bin of every row among the rows of its keys, in order; a key is one conversation or one presentation."""
-    cols = [c for c in df.columns if c not in keys]
-    rows = df.withColumn("__n", size.cast("int"))
-    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*cols).alias("__row"), "__n"))).alias("__all"))
-    bins = bin_ids(F.transform("__all", lambda r: r["__n"]), budget)
-    packed = packed.select(*keys, F.explode(F.arrays_zip("__all", bins.alias("__bin"))).alias("__z"))
-    return packed.select(*keys, "__z.__all.__row.*", F.col("__z.__bin").alias(out))
+    schema = places.drop("__n").withColumn(out, F.lit(0)).schema
+    return df.join(places.groupBy(*keys).applyInArrow(fold, schema), [*keys, *order])
 
 
 def message_chunks(messages: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

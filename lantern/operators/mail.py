@@ -12,8 +12,12 @@ from pyspark.sql import types as T
 from lantern.functions import markup
 from lantern.functions.text import cut_quote, cut_signature, decode_base64url, encode_base64url, header_map, looks_like_html
 from lantern.operators.chunking import explode_chunks, first_words, mail_chunks, mail_context
+from lantern.operators.calendar import capped
 from lantern.operators.messages import first_seen_keys
 
+#: Words in the stand-in for a thread's summary.
+SUMMARY = 15
+
 
 def header(headers: Column, name: str, default: str | None = "") -> Column:
     found = F.try_element_at(header_map(headers), F.lit(name))
@@ -95,9 +99,11 @@ def unique_chunks(chunks: DataFrame, thread: str, order: list[str], chunk: str =
 
 def thread_chunks(turns: DataFrame) -> DataFrame:
     """Chunks of threads from their turns, each with the thread's summary in its embedding text."""
-    said = F.array_sort(F.collect_list(F.struct("turn_idx", F.concat("sender", F.lit(": "), "content").alias("t"))))
-    whole = turns.groupBy("thread_id").agg(said.alias("__all"))
-    whole = whole.select("thread_id", first_words(F.array_join(F.transform("__all", lambda x: x["t"]), "\n\n")).alias("summary"))
+    # Every turn has a word, so the first few turns hold the words of the summary, however long a thread is.
+    begin = capped(turns.select("thread_id", "turn_idx", first_words(F.concat("sender", F.lit(": "), "content"), SUMMARY).alias("t")), "thread_id", ["turn_idx"], SUMMARY)
+    said = F.array_sort(F.collect_list(F.struct("turn_idx", "t")))
+    whole = begin.groupBy("thread_id").agg(said.alias("__all"))
+    whole = whole.select("thread_id", first_words(F.array_join(F.transform("__all", lambda x: x["t"]), "\n\n"), SUMMARY).alias("summary"))
     pieces = explode_chunks(turns.where(F.trim("content") != ""), "content", mail_chunks)
     pieces = unique_chunks(pieces, "thread_id", ["turn_idx", "chunk_index"]).join(whole, "thread_id")
     meta = {"thread_id": "thread_id", "message_id": "message_id", "subject": "subject", "sender": "sender", "date": "date"}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lantern.functions.text import is_substantive, message_date, normalize_message
@@ -41,13 +41,15 @@ def conversation_chunks(rows: DataFrame, labels: DataFrame, pause_minutes: int =
     groups = message_groups(rows, pause_minutes, threshold)
     line = format_message(F.col("sender"), F.col("reply_to"), F.col("text"))
     place = F.struct("ts", "row_id")
-    said = F.array_sort(F.collect_list(F.struct("ts", "row_id", line.alias("line"))))
-    about = groups.groupBy(*keys).agg(F.min_by("ts", place).alias("start"), F.max_by("ts", place).alias("end"), said.alias("said"))
-    about = about.select(
+    about = groups.groupBy(*keys).agg(F.min_by("ts", place).alias("start"), F.max_by("ts", place).alias("end"))
+    # Every message has a word, so the first few hold those of the summary.
+    first = groups.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy("ts", "row_id"))).where(F.col("__i") <= mail.SUMMARY)
+    said = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__i", line.alias("line")))).alias("said"))
+    about = about.join(said, keys).select(
         *keys,
         message_date(F.col("start")).alias("start_date"),
         message_date(F.col("end")).alias("end_date"),
-        first_words(F.array_join(F.transform("said", lambda x: x["line"]), "\n")).alias("summary"),
+        first_words(F.array_join(F.transform("said", lambda x: x["line"]), "\n"), mail.SUMMARY).alias("summary"),
     )
     pieces = message_chunks(groups, keys, ["ts", "row_id"]).join(about, keys).join(labels, "conversation_id", "left")
     place_id = F.concat_ws("_", "group_index", "chunk_index")
