@@ -209,12 +209,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Crf:
     """Train on at most ``sample`` documents of each language, chosen by a hash of the id among those not held out.
 
-    Ids and languages alone are ranked (each task hands on its first ones only); texts are read for the chosen ids.
+    Languages are counted first, and only ids whose hash is so small that some eight times the sample remain are ranked, so
+    a frequent language does not meet in one task. Texts are read for the chosen ids alone.
     """
     spark = documents.sparkSession
     usable = documents.where(F.col("lang").isNotNull() & ~held_out())
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id"))
-    chosen = usable.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= sample)
+    drawn = usable.select("doc_id", "lang", F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "doc_id"), 1).alias("draw"))
+    sizes = F.broadcast(usable.groupBy("lang").agg(F.count("*").alias("size")))  # one row a language
+    near = drawn.join(sizes, "lang").where(F.col("draw") / float(1 << 63) * F.col("size") <= 8.0 * sample)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
+    chosen = near.withColumn("place", place).where(F.col("place") <= sample)
     ids = [r[0] for r in chosen.select("doc_id").distinct().collect()]
     if not ids:
         return train([])
