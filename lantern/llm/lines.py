@@ -19,45 +19,63 @@ from lantern.llm.common import checkpointed
 
 DEPTH, SIMILAR, LEAST_TOKENS = 3, 0.7, 5
 FIELD = "<*>"
+#: Residues of leaves that are sent to every task, at most, so that lines of no interest are not shuffled with their text.
+RESIDUES = 1 << 18
 
 
 def mask(line: Column) -> Column:
     """The line's tokens joined by single spaces, those with a digit as a field."""
-    tokens = F.filter(F.split(line, r"[ \t\r\f]+"), lambda t: t != "")
-    return F.regexp_replace(F.array_join(tokens, " "), r"\S*[0-9]\S*", FIELD)
+    spaced = F.when(F.rlike(line, F.lit(r"[\t\r\f]|  ")), F.regexp_replace(line, r"[ \t\r\f]+", " ")).otherwise(line)
+    joined = F.trim(spaced)
+    return F.when(F.rlike(joined, F.lit("[0-9]")), F.regexp_replace(joined, r"[^\s0-9]*+[0-9]\S*", FIELD)).otherwise(joined)
+
+
+def _tokens(masked: Column) -> Column:
+    return F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
 
 
 def leaf(masked: Column) -> Column:
-    """Path in the tree: number of tokens and the leading ones."""
-    tokens = F.split(masked, " ")
-    return F.concat_ws(" ", F.size(tokens).cast("string"), F.slice(tokens, 1, DEPTH))
+    """Hash of the path in the tree: number of tokens and the leading ones."""
+    return F.xxhash64(_tokens(masked), F.substring_index(masked, " ", DEPTH))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    """Parsed lines (doc_id, th, pos, masked, n) that are long enough; th tells rows with one doc_id apart."""
+    """Parsed lines (doc_id, th, pos, masked) that are long enough; th tells rows with one doc_id apart."""
     rows = documents.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     rows = rows.select("doc_id", "th", "pos", mask(F.col("line")).alias("masked"))
-    return rows.where(F.size(F.split("masked", " ")) >= LEAST_TOKENS)
+    return rows.where(_tokens(F.col("masked")) >= LEAST_TOKENS)
 
 
 def templates(documents: DataFrame) -> DataFrame:
-    """Recurring templates by the lines they hold: (content, first), content a hash of the masked line, first its owner."""
-    lines = _lines(documents).withColumn("at", F.struct("doc_id", "th", "pos")).withColumn("doc", F.struct("doc_id", "th"))
-    contents = lines.groupBy("masked").agg(F.min("at").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
-    contents = contents.withColumn("leaf", leaf(F.col("masked")))
-    leaves = contents.groupBy("leaf").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    leaves = leaves.where(~F.struct("first.doc_id", "first.th").eqNullSafe(F.col("last"))).select("leaf")
-    contents = checkpointed(contents.join(leaves, "leaf", "left_semi"))
-    tokens = contents.select("leaf", "n", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
+    """Recurring templates by the lines they hold: (content, first), content a hash of the masked line, first its owner.
+
+    All lines are counted by hashes of leaf and content. Only where different lines of two documents meet in a leaf do
+    their tokens matter, and only those lines are shuffled with their text.
+    """
+    rows = _lines(documents).select(leaf(F.col("masked")).alias("leaf"), F.xxhash64("masked").alias("content"), "doc_id", "th", "pos")
+    at = F.struct("doc_id", "th", "pos")
+    contents = rows.groupBy("leaf", "content").agg(F.min(at).alias("first"), F.max(F.struct("doc_id", "th")).alias("last"), F.count("*").alias("n"))
+    leaves = contents.groupBy("leaf").agg(F.min("first").alias("low"), F.max("last").alias("high"), F.count("*").alias("kinds"))
+    leaves = leaves.where(~F.struct("low.doc_id", "low.th").eqNullSafe(F.col("high"))).select("leaf", "kinds")
+    contents = checkpointed(contents.join(leaves, "leaf"))
+    several = contents.where("kinds > 1")
+    residue = F.pmod(F.col("leaf"), F.lit(RESIDUES)).cast("int").alias("residue")
+    some = F.broadcast(several.select(residue).distinct())
+    said = _lines(documents).withColumn("leaf", leaf(F.col("masked"))).select("leaf", "masked", residue).join(some, "residue", "left_semi")
+    said = said.groupBy("masked").agg(F.first("leaf").alias("leaf")).withColumn("content", F.xxhash64("masked"))
+    said = checkpointed(several.join(said.select("masked", "content"), "content").select("leaf", "content", "masked", "n"))
+    tokens = said.select("leaf", "n", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
     counts = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"))
     common = counts.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token"))["token"].alias("token"))
     profile = common.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("profile"))
     same = F.aggregate(
         F.zip_with(F.split("masked", " "), F.col("profile"), lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x
     )
-    joined = contents.join(checkpointed(profile), "leaf")
-    of = F.when(same >= SIMILAR * F.size("profile"), F.col("leaf")).otherwise(F.concat(F.lit("= "), "masked"))
-    joined = checkpointed(joined.select(F.xxhash64("masked").alias("content"), F.xxhash64("leaf", of).alias("template"), "first", "last"))
+    fits = said.join(checkpointed(profile), "leaf").where(same >= SIMILAR * F.size("profile")).select("content", F.lit(True).alias("fits"))
+    # A line that is alone in its leaf, as a kind, is the leaf's template too.
+    joined = contents.join(checkpointed(fits), "content", "left")
+    of = F.when((F.col("kinds") == 1) | F.col("fits"), F.col("leaf")).otherwise(F.xxhash64("leaf", "content"))
+    joined = checkpointed(joined.select("content", of.alias("template"), "first", "last"))
     whole = joined.groupBy("template").agg(F.min("first").alias("owner"), F.max("last").alias("last"))
     whole = checkpointed(whole.where(~F.struct("owner.doc_id", "owner.th").eqNullSafe(F.col("last"))).select("template", "owner"))
     return joined.select("content", "template").join(whole, "template").select("content", F.col("owner").alias("first"))
