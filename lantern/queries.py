@@ -487,6 +487,6 @@ def file_listing(spark, d):
     return files.listing(rows).where(~files.too_large(F.col("size"))).select(F.col("id").alias("doc_id"), F.length("text").cast("long").alias("chars"))
 
 
-@query("SELECT CAST(sum(len(regexp_extract_all(text, '\\S+'))) AS BIGINT) AS words FROM documents".replace("\\\\", "\\"))
+@query(r"SELECT CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS words FROM documents")
 def total_words(spark, d):
     return files.words_in(table(spark, d, "documents"), "text")

@@ -34,7 +34,6 @@ def test_urls(spark):
     urls = ["https://Zoom.us/j/1/", "http://a.example/short?q=1//", long, "no link", "https://b.example/event?x=1", "https://c.example?x=/join"]
     compact = ["Zoom.us/j/1", "a.example/short?q=1", "a.example", "no link", "b.example/event?x=1", "c.example?x=/join"]
     useful = [True, False, False, False, True, True]
-    useful[5] = False if not markup.useful_url(urls[5]) else True
     assert column(spark, t.compact_url, urls) == [markup.shorten_url(u) for u in urls] == compact
     assert column(spark, t.is_useful_url, urls) == [markup.useful_url(u) for u in urls] == useful
     assert column(spark, t.rewrite_urls, [f"see {urls[0]} and {long}) end", "plain", "https://zoom.us/j/2"]) == ["see Zoom.us/j/1 and ) end", "plain", "zoom.us/j/2"]
@@ -90,7 +89,7 @@ def test_times(spark):
 
 def test_mail_text():
     assert markup.mail_text("ﬁne &amp; dandy​\n(R)\nnow  (R)x https://zoom.us/j/1 https://no.example/a") == "fine & dandy (R) now (R) x zoom.us/j/1"
-    assert markup.mail_text("a\nb\nb\n\nb\nc") == "a b\nb c" or markup.mail_text("a\nb\nb\nc") == "a\nb\nc"
+    assert markup.mail_text("a\nb\nb\n\nb\nc") == "a\nb\nb b\nc" and markup.mail_text("a\nb\nb\nc") == "a\nb\nc"
     assert markup.mail_text(None) == ""
 
 
