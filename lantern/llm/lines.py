@@ -23,27 +23,46 @@ FIELD = "<*>"
 RESIDUES = 1 << 18
 
 
+def _has(c: Column, *parts: str) -> Column:
+    """Whether a text contains one of the parts; much cheaper than a pattern, which only few lines need."""
+    out = F.contains(c, F.lit(parts[0]))
+    for part in parts[1:]:
+        out = out | F.contains(c, F.lit(part))
+    return out
+
+
 def mask(line: Column) -> Column:
     """The line's tokens joined by single spaces, those with a digit as a field."""
-    spaced = F.when(F.rlike(line, F.lit(r"[\t\r\f]|  ")), F.regexp_replace(line, r"[ \t\r\f]+", " ")).otherwise(line)
-    joined = F.trim(spaced)
-    return F.when(F.rlike(joined, F.lit("[0-9]")), F.regexp_replace(joined, r"[^\s0-9]*+[0-9]\S*", FIELD)).otherwise(joined)
+    spaced = F.when(_has(line, "  ", "\t", "\r", "\f"), F.regexp_replace(line, r"[ \t\r\f]+", " ")).otherwise(line)
+    return _once(F.trim(spaced), lambda t: F.when(_has(t, *"0123456789"), F.regexp_replace(t, r"[^\s0-9]*+[0-9]\S*", FIELD)).otherwise(t))
 
 
 def _tokens(masked: Column) -> Column:
-    return F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
+    return F.octet_length(masked) - F.octet_length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
 
 
-def leaf(masked: Column) -> Column:
+def leaf(masked: Column, tokens: Column) -> Column:
     """Hash of the path in the tree: number of tokens and the leading ones."""
-    return F.xxhash64(_tokens(masked), F.substring_index(masked, " ", DEPTH))
+    return F.xxhash64(tokens, F.substring_index(masked, " ", DEPTH))
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed a single time, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    """Parsed lines (doc_id, th, pos, masked) that are long enough; th tells rows with one doc_id apart."""
-    rows = documents.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.select("doc_id", "th", "pos", mask(F.col("line")).alias("masked"))
-    return rows.where(_tokens(F.col("masked")) >= LEAST_TOKENS)
+    """Parsed lines (doc_id, th, pos, masked, leaf, content) that are long enough; th tells rows with one doc_id apart.
+
+    Everything about a line is computed once, before the lines are exploded.
+    """
+
+    def parse(line: Column, pos: Column) -> Column:
+        return _once(mask(line), lambda m: _once(_tokens(m), lambda n: F.struct(pos.alias("pos"), m.alias("masked"), n.alias("tokens"), leaf(m, n).alias("leaf"), F.xxhash64(m).alias("content"))))
+
+    parsed = F.filter(F.transform(F.split("text", "\n"), parse), lambda x: x["tokens"] >= LEAST_TOKENS)
+    rows = documents.select("doc_id", F.xxhash64("text").alias("th"), F.explode(parsed).alias("l"))
+    return rows.select("doc_id", "th", "l.pos", "l.masked", "l.leaf", "l.content")
 
 
 def templates(documents: DataFrame) -> DataFrame:
@@ -52,18 +71,19 @@ def templates(documents: DataFrame) -> DataFrame:
     All lines are counted by hashes of leaf and content. Only where different lines of two documents meet in a leaf do
     their tokens matter, and only those lines are shuffled with their text.
     """
-    rows = _lines(documents).select(leaf(F.col("masked")).alias("leaf"), F.xxhash64("masked").alias("content"), "doc_id", "th", "pos")
+    rows = _lines(documents)
     at = F.struct("doc_id", "th", "pos")
     contents = rows.groupBy("leaf", "content").agg(F.min(at).alias("first"), F.max(F.struct("doc_id", "th")).alias("last"), F.count("*").alias("n"))
+    contents = checkpointed(contents)
     leaves = contents.groupBy("leaf").agg(F.min("first").alias("low"), F.max("last").alias("high"), F.count("*").alias("kinds"))
     leaves = leaves.where(~F.struct("low.doc_id", "low.th").eqNullSafe(F.col("high"))).select("leaf", "kinds")
     contents = checkpointed(contents.join(leaves, "leaf"))
     several = contents.where("kinds > 1")
     residue = F.pmod(F.col("leaf"), F.lit(RESIDUES)).cast("int").alias("residue")
     some = F.broadcast(several.select(residue).distinct())
-    said = _lines(documents).withColumn("leaf", leaf(F.col("masked"))).select("leaf", "masked", residue).join(some, "residue", "left_semi")
-    said = said.groupBy("masked").agg(F.first("leaf").alias("leaf")).withColumn("content", F.xxhash64("masked"))
-    said = checkpointed(several.join(said.select("masked", "content"), "content").select("leaf", "content", "masked", "n"))
+    said = _lines(documents).select("content", "masked", residue).join(some, "residue", "left_semi")
+    said = said.groupBy("content", "masked").agg(F.count("*").alias("__n")).drop("__n")
+    said = checkpointed(several.join(said, "content").select("leaf", "content", "masked", "n"))
     tokens = said.select("leaf", "n", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
     counts = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"))
     common = counts.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token"))["token"].alias("token"))
@@ -89,7 +109,7 @@ def drop_recurring(documents: DataFrame) -> DataFrame:
     names that start with two underscores are this operator's own. ``n_chars`` follows the text where it is present.
     """
     found = checkpointed(templates(documents).distinct())
-    lines = _lines(documents).select("doc_id", "th", "pos", F.xxhash64("masked").alias("content"))
+    lines = _lines(documents).select("doc_id", "th", "pos", "content")
     hit = lines.join(found, "content").where(~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("first")))
     gone = hit.groupBy(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_set("pos").alias("__gone"))
     rows = documents.withColumn("__own", F.xxhash64("text"))
