@@ -139,6 +139,12 @@ def slide_packing(spark, d):
     return chunking.pack_rows(rows, ["source"], ["doc_id"], t.word_count(F.col("text")), 500).select("source", "doc_id", "bin")
 
 
+@query()
+def slide_packing_whole(spark, d):
+    """Bins of all texts, labelled or not, packed like the slides of one presentation per source."""
+    return chunking.pack_rows(table(spark, d, "documents"), ["source"], ["doc_id"], t.word_count(F.col("text")), 500).select("source", "doc_id", "bin")
+
+
 @query()
 def message_chunks(spark, d):
     """Chunks of conversations as one group each, long messages split."""

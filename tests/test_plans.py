@@ -5,6 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from lantern import queries
 from lantern.operators import calendar, files, mail, messages, retrieval
 from lantern.plans import ingest, tools
 from lantern.sources import store, tables
@@ -195,3 +196,19 @@ def test_backfill_and_search(spark, tmp_path):
     store.put_json(spark, str(tmp_path / "state.json"), {"history_id": "4"})
     assert ingest.sync_mail(spark, kept, t["mail"], t["feed"], str(tmp_path / "state.json")).chunks == 1 and kept.read().count() == 9
     assert ingest.preview(t["files"]).count() == 1
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_slides_of_all_documents_are_packed(spark):
+    want, state = {}, {}
+    docs = tables.table(spark, DATA, "documents").orderBy("source", "doc_id").collect()
+    for r in docs:
+        n = len(r.text.split())
+        bin_, total, open_ = state.get(r.source, (-1, 0, False))
+        bin_, total = (bin_, total + n) if open_ and n <= 500 and total + n <= 500 else (bin_ + 1, n)
+        state[r.source] = bin_, total, n <= 500
+        want[(r.source, r.doc_id)] = bin_
+    got = {(r.source, r.doc_id): r.bin for r in queries.QUERIES["slide_packing_whole"](spark, DATA).collect()}
+    assert got == want and len(got) == len(docs) > tables.table(spark, DATA, "labels").count()
