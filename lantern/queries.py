@@ -232,6 +232,17 @@ def reply_context(spark, d):
     return messages.with_replies(rows, "guid", "parent", "text", ("turn",)).select("conv_id", "turn", "reply_to")
 
 
+@query("""
+SELECT l.conv_id, l.turn, CASE WHEN p.text IS NULL THEN NULL ELSE left(p.text, 50) || '...' END AS reply_to
+FROM conversations l LEFT JOIN conversations p ON p.conv_id = l.conv_id AND p.turn = 0 AND p.text <> '' AND l.turn > 0
+""")
+def reply_context_whole(spark, d):
+    """Replies to a conversation's first turn, of all turns."""
+    guid = lambda turn: F.concat_ws("-", "conv_id", turn)
+    rows = table(spark, d, "conversations").withColumn("guid", guid(F.col("turn"))).withColumn("parent", F.when(F.col("turn") > 0, guid(F.lit(0))))
+    return messages.with_replies(rows, "guid", "parent", "text", ("turn",)).select("conv_id", "turn", "reply_to")
+
+
 @query("""
 WITH k AS (
   SELECT c_custkey, c_name, unnest(['phone:' || d, 'phone:' || right(d, 10)]) AS key, unnest([0, 1]) AS pos
@@ -280,6 +291,19 @@ def upsert_last_wins(spark, d):
     return merged(base, delta, ["doc_id"], "v")
 
 
+@query("""
+WITH d AS (SELECT doc_id, 'new' AS source, n_chars + v AS n_chars, v FROM documents, (VALUES (1), (2)) x(v) WHERE doc_id % 3 = 0)
+SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM d)
+UNION ALL SELECT doc_id, source, n_chars FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY v DESC) = 1
+""")
+def upsert_last_wins_whole(spark, d):
+    """All documents merged with a delta that has every third key twice; the last write wins."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    v = F.explode(F.array(F.lit(1), F.lit(2)))
+    delta = docs.where("doc_id % 3 = 0").select("doc_id", F.lit("new").alias("source"), v.alias("v"), "n_chars").withColumn("n_chars", F.col("n_chars") + F.col("v"))
+    return merged(docs, delta, ["doc_id"], "v")
+
+
 @query("""
 SELECT event_id, user_id, CASE WHEN event_id % 7 = 0 THEN 'patched' ELSE event_type END AS event_type FROM events WHERE event_id % 10 <> 0
 """)

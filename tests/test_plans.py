@@ -212,3 +212,15 @@ def test_slides_of_all_documents_are_packed(spark):
         want[(r.source, r.doc_id)] = bin_
     got = {(r.source, r.doc_id): r.bin for r in queries.QUERIES["slide_packing_whole"](spark, DATA).collect()}
     assert got == want and len(got) == len(docs) > tables.table(spark, DATA, "labels").count()
+
+
+def test_replies_and_upserts_of_all_rows(spark):
+    rows = tables.table(spark, DATA, "conversations").collect()
+    first = {r.conv_id: r.text for r in rows if r.turn == 0 and r.text}
+    want = {(r.conv_id, r.turn): first[r.conv_id][:50] + "..." if r.turn > 0 and r.conv_id in first else None for r in rows}
+    got = queries.QUERIES["reply_context_whole"](spark, DATA).collect()
+    assert {(r.conv_id, r.turn): r.reply_to for r in got} == want and len(got) == len(rows) and any(r.turn > 3 for r in got)
+    docs = tables.table(spark, DATA, "documents").collect()
+    want = {r.doc_id: ("new", r.n_chars + 2) if r.doc_id % 3 == 0 else (r.source, r.n_chars) for r in docs}
+    got = queries.QUERIES["upsert_last_wins_whole"](spark, DATA).collect()
+    assert {r.doc_id: (r.source, r.n_chars) for r in got} == want and len(got) == len(docs)
