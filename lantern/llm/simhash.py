@@ -185,11 +185,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near duplicates at a similarity: SimHash of the whole text filters, partial fingerprints find candidates.
+# Near duplicates at a similarity: partial fingerprints find candidates, all of which are verified.
 
 SIMILARITY, WIDTH = 0.8, 5
-#: Bits by which fingerprints of texts at the similarity or above may differ: at 0.8 the mean is 10 and the deviation 3.
-FILTER_BITS = 22
 
 
 def partial_fingerprints(h: np.ndarray) -> list[int]:
@@ -241,8 +239,8 @@ def similar_groups(documents: DataFrame, width: int = WIDTH, similarity: float =
 
     Equal texts collapse first, however many there are. A class of shingles that two different texts share makes each of its texts a
     candidate with the least text of the class, and with the least one of those whose fingerprints agree in eight bits that
-    the class chooses, so candidates grow with the rows and not with their pairs. Fingerprints too far apart for the
-    similarity are let go, and the rest is verified exactly on the whole sets of shingles. doc_id must tell rows apart;
+    the class chooses, so candidates grow with the rows and not with their pairs. All are verified exactly on the whole
+    sets of shingles. doc_id must tell rows apart;
     rows that share one share a group. Wordless and null texts form one group. A null doc_id is its own group's id only if no other is there.
     """
     rows = documents.select("doc_id", "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("th"))
@@ -258,8 +256,7 @@ def similar_groups(documents: DataFrame, width: int = WIDTH, similarity: float =
         band = F.when(F.col("key").bitwiseAND(F.lit(7).cast("long")) == k, eight).otherwise(band)
     both = met.select("rep", "fp", F.explode(F.array(F.col("key"), F.xxhash64("key", band))).alias("key"))
     stars = checkpointed(both.groupBy("key").agg(F.min(F.struct("rep", "fp")).alias("star")))
-    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("star.fp")))
-    pairs = both.join(stars, "key").where((F.col("rep") != F.col("star.rep")) & (apart <= FILTER_BITS))
+    pairs = both.join(stars, "key").where(F.col("rep") != F.col("star.rep"))
     pairs = checkpointed(pairs.select(F.col("rep").alias("a"), F.col("star.rep").alias("b")).distinct())
     wanted = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     texts = documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])

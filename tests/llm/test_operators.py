@@ -294,6 +294,15 @@ def test_similar_texts_keep_one(spark, odd, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_repeated_passages_do_not_hide_similar_texts(spark):
+    rows = []
+    for g in range(10):
+        w = [f"w{g}x{i}" for i in range(200)]
+        rows += [(2 * g, " ".join(w + w[:10] * 60)), (2 * g + 1, " ".join(w + w[100:110] * 60))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.doc_id for x in kept.collect()} == {2 * g for g in range(10)}
+
+
 # 7: media
 
 
