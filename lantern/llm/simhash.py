@@ -14,6 +14,7 @@ distance is Hamming distance, so two candidates share a point if and only if the
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -185,40 +186,66 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near duplicates at a similarity: partial fingerprints find candidates, all of which are verified.
+# Near duplicates at a similarity: prefixes of the shingle sets find candidates, all of which are verified. SimHash and its grid take no part.
 
 SIMILARITY, WIDTH = 0.8, 5
+#: One text in so many is read to see which shingles are frequent; a shingle is if that many of them have it, and so many are told to every task at most.
+SAMPLED, FREQUENT, MOST_FREQUENT = 16, 3, 1 << 18
+#: Rounds that link texts to one text of each key, which leaves few pairs to the last step, which lists all.
+STARS = 2
+_SLACK = 1e-6
 
 
-def partial_fingerprints(h: np.ndarray) -> list[int]:
-    """Fingerprints of the classes into which a text's distinct shingles fall by their own hash.
+def least_common(n: int, similarity: float) -> int:
+    """Shingles, at least, that a set of n has in common with any set at the similarity or above."""
+    return max(1, int(np.ceil(similarity * n - _SLACK)))
 
-    There are 2**L and 2**(L+1) classes, of some 4 to 15 shingles each, more in longer texts. Texts at a similarity of 0.8 share a
-    level at least, and at that level about a third of the classes whole. A text without words has one class.
+
+def prefix(h: np.ndarray, frequent: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set of distinct ones in the order of all shingles: rare ones before frequent ones, then by hash.
+
+    Two sets at the similarity or above have one of their prefixes' shingles in common, whatever the order is.
     """
-    h = np.unique(h)
     n = len(h)
-    level = max(0, int(np.log2(max(1.0, n / (2.2 * max(n, 1) ** 0.25)))))
-    out = []
-    for lv in (level, level + 1):
-        place = (h >> np.uint64(40)) & np.uint64((1 << lv) - 1)
-        # The sum over a scrambled class is equal for equal classes; the level and the class enter too.
-        mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        sums = np.zeros(1 << lv, np.uint64)
-        np.add.at(sums, place.astype(np.int64), mixed ^ (mixed >> np.uint64(32)))
-        for c in np.unique(place).tolist() if n else [0]:
-            out.append(_signed(xxhash.xxh64_intdigest(f"{lv}:{c}:{sums[c]}".encode(), SEED)))
-    return out
+    if not n:
+        return h
+    rank = np.zeros(n, np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+        rank = np.where(frequent[at] == h, ranks[at], 0)
+    return h[np.lexsort((h, rank))][: n - least_common(n, similarity) + 1]
+
+
+def _set_hashes(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                sets = [np.unique(hashes(t, width)).astype(np.int64) for t in batch.column(0).slice(at, 512).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else [], pa.int64())], ["gram"])
+
+    return run
 
 
-def _sketches(width: int):
+def frequent_shingles(documents: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of shingles that are frequent in a sample, and their ranks by frequency. Results don't depend on them, but costs do."""
+    sample = documents.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLED)) == 0).select("text")
+    counts = sample.mapInArrow(_set_hashes(width), "gram long").groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    top = counts.orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).toArrow()
+    grams = top["gram"].to_numpy().astype(np.uint64)
+    order = np.argsort(grams)
+    return grams[order], np.log2(top["n"].to_numpy()[order]).astype(np.int64) + 1
+
+
+def _sketches(width: int, similarity: float, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, ranks = frequent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                hs = [hashes(t, width) for t in part.column(1).to_pylist()]
-                cols = [part.column(0), part.column(2), pa.array([_signed(simhash(h)) for h in hs], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([partial_fingerprints(h) for h in hs], pa.list_(pa.int64()))], ["doc_id", "th", "fp", "keys"])
+                sets = [np.unique(hashes(t, width)) for t in part.column(1).to_pylist()]
+                digests = pa.array([hashlib.md5(h.tobytes()).hexdigest() for h in sets], pa.string())
+                keys = pa.array([prefix(h, grams, ranks, similarity).astype(np.int64) for h in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), digests, pa.array([len(h) for h in sets], pa.int32()), keys], ["doc_id", "th", "n", "keys"])
 
     return run
 
@@ -234,38 +261,57 @@ def _shingle_sets(width: int):
     return run
 
 
+def _verified(documents: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) that are similar, by their whole sets of shingles."""
+    pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    wanted = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    texts = documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = checkpointed(texts.mapInArrow(_shingle_sets(width), "doc_id long, grams array<long>"))
+    one, two = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - common
+    return checkpointed(pairs.join(one, "a").join(two, "b").where((union == 0) | (common >= similarity * union)).select("a", "b"))
+
+
 def similar_groups(documents: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, group): texts whose word shingles are similar, directly or over others; group is the least doc_id.
 
-    Equal texts collapse first, however many there are. A class of shingles that two different texts share makes each of its texts a
-    candidate with the least text of the class, and with the least one of those whose fingerprints agree in eight bits that
-    the class chooses, so candidates grow with the rows and not with their pairs. All are verified exactly on the whole
-    sets of shingles. doc_id must tell rows apart;
+    Texts with equal sets of shingles collapse first, however many there are. Similar texts share a shingle of their prefixes, and
+    after it both have as many shingles as they need in common. So the pairs that share a key (a shingle of two prefixes)
+    and pass that bound hold all similar ones. Pairs are verified exactly on the whole sets: first each text with one text of
+    each of its keys, for ``STARS`` rounds, then all pairs whose texts are not in one group yet. Of those, one text is
+    always outside the key's largest group, so a large group of near copies does not pair with itself. doc_id must tell rows apart;
     rows that share one share a group. Wordless and null texts form one group. A null doc_id is its own group's id only if no other is there.
     """
-    rows = documents.select("doc_id", "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("th"))
-    sketches = checkpointed(rows.mapInArrow(_sketches(width), "doc_id long, th string, fp long, keys array<long>"))
+    frequent = documents.sparkSession.sparkContext.broadcast(frequent_shingles(documents, width))
+    sketches = checkpointed(documents.select("doc_id", "text").mapInArrow(_sketches(width, similarity, frequent), "doc_id long, th string, n int, keys array<long>"))
     copies = checkpointed(sketches.groupBy("th").agg(F.min("doc_id").alias("rep")))
-    least = sketches.join(copies, "th").where(F.col("doc_id") == F.col("rep")).select("rep", "fp", "keys").dropDuplicates(["rep"])
-    members = least.select("rep", "fp", F.explode("keys").alias("key"))
+    least = sketches.join(copies, "th").where(F.col("doc_id") == F.col("rep")).select("rep", "n", "keys").dropDuplicates(["rep"])
+    # A text's shingles from the key on: n less the key's place.
+    members = least.select("rep", "n", F.posexplode("keys").alias("at", "key")).select("key", "rep", "n", (F.col("n") - F.col("at")).alias("rest"))
     shared = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key")
-    met = checkpointed(members.join(checkpointed(shared), "key", "left_semi"))
-    band = F.lit(0).cast("long")
-    for k in range(8):
-        eight = F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255).cast("long"))
-        band = F.when(F.col("key").bitwiseAND(F.lit(7).cast("long")) == k, eight).otherwise(band)
-    both = met.select("rep", "fp", F.explode(F.array(F.col("key"), F.xxhash64("key", band))).alias("key"))
-    stars = checkpointed(both.groupBy("key").agg(F.min(F.struct("rep", "fp")).alias("star")))
-    pairs = both.join(stars, "key").where(F.col("rep") != F.col("star.rep"))
-    pairs = checkpointed(pairs.select(F.col("rep").alias("a"), F.col("star.rep").alias("b")).distinct())
-    wanted = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    texts = documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = checkpointed(texts.mapInArrow(_shingle_sets(width), "doc_id long, grams array<long>"))
-    one, two = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - common
-    alike = pairs.join(one, "a").join(two, "b").where((union == 0) | (common >= similarity * union)).select("a", "b")
-    roots = checkpointed(components(alike))
+    met = checkpointed(members.join(checkpointed(shared), "key", "left_semi").withColumn("root", F.col("rep")))
+    may = F.least("rest", "o.rest") >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("o.n")) - F.lit(_SLACK)
+    edges, roots = None, None
+    for turn in range(STARS + 1):
+        several = met.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        met = checkpointed(met.join(several, "key", "left_semi")) if turn else met
+        other = F.struct("rep", "n", "rest", "root").alias("o")
+        if turn < STARS:
+            place = F.col("rep") if turn == 0 else F.xxhash64("rep")
+            others = met.groupBy("key").agg(F.min_by(F.struct("rep", "n", "rest", "root"), place).alias("o"))
+            mine = met
+        else:
+            largest = met.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "root"))["root"].alias("largest"))
+            mine = met.join(checkpointed(largest), "key").where("root <> largest")
+            others = met.select("key", other)
+        pairs = mine.join(others, "key").where((F.col("root") != F.col("o.root")) & may)
+        found = _verified(documents, pairs.select(F.col("rep").alias("a"), F.col("o.rep").alias("b")), width, similarity)
+        edges = found if edges is None else edges.unionByName(found)
+        roots = checkpointed(components(edges))
+        if turn < STARS:
+            named = met.drop("root").join(roots, met["rep"] == roots["v"], "left")
+            met = checkpointed(named.select("key", "rep", "n", "rest", F.coalesce("root", "rep").alias("root")))
     named = copies.join(roots, copies["rep"] == roots["v"], "left").select("th", F.coalesce("root", "rep").alias("group"))
     return sketches.select("doc_id", "th").join(checkpointed(named), "th").select("doc_id", "group")
 

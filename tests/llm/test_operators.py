@@ -303,6 +303,21 @@ def test_repeated_passages_do_not_hide_similar_texts(spark):
     assert {x.doc_id for x in kept.collect()} == {2 * g for g in range(10)}
 
 
+def test_similar_texts_are_found_beside_a_common_passage(spark):
+    r = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(84))
+    rows = []
+    for g in range(400):
+        tail = [[f"t{g}x{i}" for i in range(3)] + [f"t{g}y{k}x{i}" for i in range(9)] for k in range(2)]
+        rows += [" ".join([passage, *t]) for t in tail]
+    long = [f"l{i}" for i in range(15000)]
+    rows += [" ".join(long), " ".join(w if i % 45 else "z" for i, w in enumerate(long))]
+    rows += ["a b c d e f g h", "a b c d e f g h i"]
+    ids = r.sample(range(10000), len(rows))
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(list(zip(ids, rows, strict=True)), "doc_id long, text string")).collect()}
+    assert kept == {min(pair) for pair in zip(ids[::2], ids[1::2], strict=True)}
+
+
 # 7: media
 
 
