@@ -1,8 +1,8 @@
 """Secret scans: patterns for known shapes, and a token-efficiency test for the rest.
 
 A byte-pair vocabulary that was learned from ordinary text and code spends few characters on each token of a random
-string. Candidates are unbroken runs of key characters that mix letters and digits; those whose characters per token
-stay under a threshold are reported as ``token`` spans, unless they are digests of a known length or identifiers.
+string. Candidates are unbroken runs of key characters; those whose characters per token
+stay under a threshold are reported as ``token`` spans, unless they are digests of a known length, UUIDs or numbers.
 """
 
 from __future__ import annotations
@@ -27,11 +27,11 @@ ASSIGN_CHARS = 6
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Digests that stand in texts for other reasons than secrecy: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512 in hex.
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z", re.IGNORECASE)
-#: Identifiers: UUIDs, dates and times, numbers with separators, one word with a number, words joined by separators.
-IDENTIFIER = re.compile(
-    r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\Z|[\d+/_=-]+\Z|[A-Za-z]+[-_/]?\d+\Z|(?:[A-Za-z]+[-_/=+])*[A-Za-z]+\Z|(?:[A-Za-z]{3,}\d{0,4}[-_/])+[A-Za-z]*\d{0,4}\Z",
-    re.IGNORECASE,
-)
+#: Identifiers of a known form: UUIDs, dates and times, numbers with separators.
+IDENTIFIER = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\Z|[\d+/_=-]+\Z", re.IGNORECASE)
+#: Words joined by separators, which take tokens of their own: they are tested by their words.
+JOINED = re.compile(r"(?:[A-Za-z]+[-_/=+])+[A-Za-z]+\Z|(?:[A-Za-z]{3,}\d{0,4}[-_/])+[A-Za-z]*\d{0,4}\Z")
+WORD = re.compile(r"[A-Za-z]+")
 CHARS_PER_TOKEN = 2.2
 
 
@@ -62,12 +62,13 @@ def token_spans(text: str, encode: Callable[[str], list[int]], taken: list[tuple
     out = []
     for m in CANDIDATE.finditer(text):
         run = m[0]
-        if run.isalpha() or DIGEST.match(run) or IDENTIFIER.match(run):
+        if DIGEST.match(run) or IDENTIFIER.match(run):
             continue
         s, e = m.span()
         if any(a < e and s < b for a, b, _ in taken):
             continue
-        if len(run) / len(encode(run)) < ratio:
+        parts = WORD.findall(run) if JOINED.match(run) else [run]
+        if sum(map(len, parts)) / sum(len(encode(p)) for p in parts) < ratio:
             out.append((s, e, KINDS[3]))
     return out
 

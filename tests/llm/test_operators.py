@@ -95,6 +95,18 @@ def test_token_efficiency():
         assert find(text) == []
 
 
+def test_token_efficiency_of_letters_and_joined_runs():
+    encode = secrets.encoding(secrets.vocabulary(RANKS), PATTERN).encode_ordinary
+    r = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["".join(r.choice(letters) for _ in range(24)) for _ in range(20)]
+    keys += ["-".join("".join(r.choice(letters) for _ in range(8)) for _ in range(3)) for _ in range(20)] + ["qXvKzWpJtGbRmLdN7342"]
+    for key in keys:
+        assert [key] == [f"use {key} now"[s:e] for s, e, _ in secrets.find_secrets(f"use {key} now", encode)[1]]
+    for text in ["responsabilidades/administrativas", "well-known-state-of-the-art", "MAX_BUFFER_SIZE_BYTES", "Donaudampfschifffahrtsgesellschaft"]:
+        assert secrets.find_secrets(text, encode)[1] == []
+
+
 def test_scan_and_redaction(odd, empty):
     out = secrets.scan_documents(odd, RANKS, PATTERN).collect()
     want = collections.Counter((d, sha(",".join(plain_spans(t or "")))) for d, t in rows_of(odd))
