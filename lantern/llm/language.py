@@ -30,19 +30,23 @@ LEXICON = 200
 EPOCHS, RATE, DECAY, SWITCH = 4, 0.3, 1e-5, 16
 STORE = 300_000
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
+#: Longer runs of letters are cut into consecutive words of this many characters.
+LONGEST = 40
 HAS_LETTER = regex.compile(r"\p{L}")
 
 
 def words(text: str | None) -> list[str]:
-    """Lower-cased words of letters."""
-    return WORD.findall(text.lower()) if text else []
+    """Lower-cased words of letters, long runs in pieces."""
+    found = WORD.findall(text.lower()) if text else []
+    if max(map(len, found), default=0) > LONGEST:
+        found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
+    return found
 
 
 def features(word: str, lexicons: dict[str, int]) -> list[int]:
     """Hashed features of a word: prefixes and suffixes, character bigrams and trigrams, the lexicons that hold it."""
-    w = word[:40]
-    found = {"b"} | {f"p{w[:k]}" for k in (1, 2, 3)} | {f"s{w[-k:]}" for k in (1, 2, 3, 4)}
-    edged = f"<{w}>"
+    found = {"b"} | {f"p{word[:k]}" for k in (1, 2, 3)} | {f"s{word[-k:]}" for k in (1, 2, 3, 4)}
+    edged = f"<{word}>"
     found |= {f"g{edged[i : i + k]}" for k in (2, 3) for i in range(len(edged) - k + 1)}
     if word in lexicons:
         found.add(f"l{lexicons[word]}")

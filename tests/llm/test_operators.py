@@ -457,3 +457,10 @@ def test_languages_are_learned(spark, odd, empty):
     assert all(out[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(90))
     assert [out[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3 and out[1003].lang_pred == "aa" and 0.6 < out[1003].score < 1
     assert language.identify(odd).count() == odd.count() and language.identify(empty).count() == 0
+
+
+def test_texts_without_spaces_are_labelled_whole():
+    crf = language.train([(mixed(i, lang, 60), lang) for i in range(60) for lang in [list(LANGS)[i % 3]]])
+    run = mixed(1, "aa", 12).replace(" ", "")[:40] + mixed(2, "bb", 400).replace(" ", "")
+    (lang, score), (short, _) = language.predict(crf, [run, run[:40]])
+    assert (lang, short) == ("bb", "aa") and 0.6 < score < 1 and "".join(language.words(run)) == run
