@@ -276,9 +276,9 @@ def _verified(documents: DataFrame, pairs: DataFrame, width: int, similarity: fl
 def similar_groups(documents: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, group): texts whose word shingles are similar, directly or over others; group is the least doc_id.
 
-    Texts with equal sets of shingles collapse first, however many there are. Similar texts share a shingle of their prefixes, and
-    after it both have as many shingles as they need in common. So the pairs that share a key (a shingle of two prefixes)
-    and pass that bound hold all similar ones. Pairs are verified exactly on the whole sets: first each text with one text of
+    Texts with equal sets of shingles collapse first, however many there are. Similar texts share a key (a shingle of both prefixes),
+    and their keys in common and the shingles after the last one are as many as they need in common. So the pairs that share
+    a key and pass that bound hold all similar ones. Pairs are verified exactly on the whole sets: first each text with one text of
     each of its keys, for ``STARS`` rounds, then all pairs whose texts are not in one group yet. Of those, one text is
     always outside the key's largest group, so a large group of near copies does not pair with itself. doc_id must tell rows apart;
     rows that share one share a group. Wordless and null texts form one group. A null doc_id is its own group's id only if no other is there.
@@ -291,7 +291,10 @@ def similar_groups(documents: DataFrame, width: int = WIDTH, similarity: float =
     members = least.select("rep", "n", F.posexplode("keys").alias("at", "key")).select("key", "rep", "n", (F.col("n") - F.col("at")).alias("rest"))
     shared = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key")
     met = checkpointed(members.join(checkpointed(shared), "key", "left_semi").withColumn("root", F.col("rep")))
-    may = F.least("rest", "o.rest") >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("o.n")) - F.lit(_SLACK)
+    # No shingle is common between the last common key and the end of the prefix that ends first.
+    beyond = lambda n: F.greatest(F.lit(1.0), F.ceil(similarity * F.col(n) - _SLACK)) - 1
+    most = F.col("c") + F.greatest(F.least(beyond("n"), F.col("there") - 1), F.least(beyond("m"), F.col("here") - 1))
+    may = most >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")) - F.lit(_SLACK)
     edges, roots = None, None
     for turn in range(STARS + 1):
         several = met.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
@@ -305,8 +308,15 @@ def similar_groups(documents: DataFrame, width: int = WIDTH, similarity: float =
             largest = met.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "root"))["root"].alias("largest"))
             mine = met.join(checkpointed(largest), "key").where("root <> largest")
             others = met.select("key", other)
-        pairs = mine.join(others, "key").where((F.col("root") != F.col("o.root")) & may)
-        found = _verified(documents, pairs.select(F.col("rep").alias("a"), F.col("o.rep").alias("b")), width, similarity)
+        # A key gives a pair one row.
+        pairs = mine.join(others, "key").where(F.col("root") != F.col("o.root"))
+        if turn == STARS:
+            pairs = pairs.where((F.col("o.root") == F.col("largest")) | (F.col("rep") < F.col("o.rep")))
+        own, its = F.struct("rep", "n", "rest"), F.struct("o.rep", "o.n", "o.rest")
+        pairs = pairs.select(F.when(F.col("rep") < F.col("o.rep"), own).otherwise(its).alias("x"), F.when(F.col("rep") < F.col("o.rep"), its).otherwise(own).alias("y"))
+        pairs = pairs.select(F.col("x.rep").alias("a"), "x.n", "x.rest", F.col("y.rep").alias("b"), F.col("y.n").alias("m"), F.col("y.rest").alias("other"))
+        pairs = pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"), F.min("rest").alias("here"), F.min("other").alias("there"))
+        found = _verified(documents, pairs.where(may).select("a", "b"), width, similarity)
         edges = found if edges is None else edges.unionByName(found)
         roots = checkpointed(components(edges))
         if turn < STARS:
