@@ -15,16 +15,41 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the cluster's shared checkpoint folder.
+    """Cut the lineage through the cluster's shared checkpoint folder, which ``spark.checkpoint.dir`` names.
 
-    ``spark.checkpoint.dir`` names that folder. Only where it is unset (tests, a laptop) a local one is made.
+    Where it is unset, the session must have been given a folder (``SparkContext.setCheckpointDir``), as tests do. Only on a
+    local master is one made here, as driver and executors are one process then.
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lantern-checkpoint-"))
+    context = df.sparkSession.sparkContext
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lantern-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def release(*frames: DataFrame) -> None:
+    """Delete the files of checkpoints that nothing reads any more, and let the driver drop shuffles that nothing refers to.
+
+    Whatever was made from the frames must be checkpointed itself by then.
+    """
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = context._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    context._jvm.System.gc()
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def ranked(df: DataFrame, *order) -> tuple[DataFrame, int]:
     """Give every row its 0-based place ``rank`` in the total order, and return the number of rows too.
 

@@ -4,8 +4,9 @@ Fingerprints are majority votes over hashes of word shingles. To link fingerprin
 mapped to its bit counts in equal segments. Counts of two fingerprints that differ in d bits are at most d apart in
 Manhattan distance, so the counts are a lower bound. For d up to 2 there is always a lattice point at distance 1 or less
 from both, so the range join on the grid is an equi-join on such midpoints: a fingerprint goes to its own cell and to its
-``2 * segments`` neighbours, and only fingerprints that meet another one in a cell stay candidates. Those are mapped once more,
-with other segments, which lets go nearly all that met by chance.
+``2 * segments`` neighbours, and only fingerprints that meet another one in a cell stay candidates. At hundreds of
+millions of fingerprints most meet one by chance, so candidates must also meet in the counts of one-bit segments of three
+blocks out of five, which hardly any does by chance at that size.
 
 Candidates are verified exactly, by the same midpoints on the finest grid, of segments of one bit: there, Manhattan
 distance is Hamming distance, so two candidates share a point if and only if they differ in 2 bits or fewer. A point has
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.common import checkpointed
+from lantern.llm.common import checkpointed, fresh, release
 
 SEED, BITS, SEGMENTS = 42, 64, 16
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -110,18 +112,27 @@ def _met(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
 
 
-def _turned(df: DataFrame) -> DataFrame:
-    """(fp, bits): the 64 bits as an 8 by 8 square, turned about its diagonal, so that new segments mix all old ones."""
-    out = df.select("fp", F.col("fp").alias("bits"))
-    for step, mask in ((7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0x00000000F0F0F0F0)):
-        moved = F.col("bits").bitwiseXOR(F.shiftrightunsigned("bits", step)).bitwiseAND(F.lit(mask).cast("long"))
-        out = out.withColumn("t", moved).select("fp", F.col("bits").bitwiseXOR(F.col("t")).bitwiseXOR(F.shiftleft("t", step)).alias("bits"))
-    return out
+def _blocks(fp: Column) -> Column:
+    """Keys of the bit counts over segments of one bit in three of five blocks, for every choice of the three.
 
+    Two changed bits lie in two blocks at most, so fingerprints at a distance of 2 or less share a key; a key has 38 bits,
+    so that of unrelated fingerprints a billion leave one in thirty with a chance meeting.
+    """
+    widths = (13, 13, 13, 13, 12)
+    starts = [sum(widths[:i]) for i in range(5)]
+    masks = [(1 << w) - 1 << s for w, s in zip(widths, starts, strict=True)]
+    kept = [masks[i] | masks[j] | masks[k] for i, j, k in combinations(range(5), 3)]
+    return F.array(*[F.struct(F.lit(c).alias("choice"), fp.bitwiseAND(F.lit(_signed(m)).cast("long")).alias("bits")) for c, m in enumerate(kept)])
+
+
+def _spread(df: DataFrame, by: str) -> DataFrame:
+    """The rows dealt out over all shuffle partitions, so that what is exploded next is not made by a few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
 
-def _meeting(df: DataFrame) -> DataFrame:
-    """The fingerprints of (fp, bits) whose counts over the segments of ``bits`` share a cell with those of another one."""
-    cells = df.select("fp", F.explode(_cells(segment_counts(F.col("bits")))).alias("key"))
+
+def _meeting(df: DataFrame, keys: Column) -> DataFrame:
+    """The fingerprints that share one of their keys with another one."""
+    cells = _spread(df.select("fp"), "fp").select("fp", F.explode(keys).alias("key"))
     shared = _met(cells).select("key")
     return checkpointed(cells.join(shared, "key", "left_semi").select("fp").distinct())
 
@@ -131,9 +142,10 @@ def links(distinct: DataFrame) -> DataFrame:
 
     Every edge is a true link; links between members of one point are implied by their common edge to its least member.
     """
-    candidates = _meeting(distinct.select("fp", F.col("fp").alias("bits")))
-    candidates = _meeting(_turned(candidates))
-    points = candidates.select("fp", F.explode(_points(F.col("fp"))).alias("key"))
+    fp = F.col("fp")
+    candidates = _meeting(distinct, _cells(segment_counts(fp)))
+    candidates = _meeting(candidates, _blocks(fp))
+    points = _spread(candidates, "fp").select("fp", F.explode(_points(fp)).alias("key"))
     stars = points.groupBy("key").agg(F.min("fp").alias("b"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
     return stars.select("b", F.explode("all").alias("a")).where("a <> b").select("a", "b").distinct()
 
@@ -186,13 +198,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near duplicates at a similarity: prefixes of the shingle sets find candidates, all of which are verified. SimHash and its grid take no part.
+# Near duplicates at a similarity. SimHash and its grid link what is nearly equal; prefixes of the shingle sets find the other
+# candidates, as 64 bits differ in about ten at a similarity of 0.8. Every link is verified on the whole sets.
 
 SIMILARITY, WIDTH = 0.8, 5
 #: One text in so many is read to see which shingles are frequent; a shingle is if that many of them have it, and so many are told to every task at most.
 SAMPLED, FREQUENT, MOST_FREQUENT = 16, 3, 1 << 18
-#: Rounds that link texts to one text of each key, which leaves few pairs to the last step, which lists all.
-STARS = 2
+#: Rounds that link sets to one set of each key, which leaves few pairs to the last step, which lists all.
+STARS = 1
 _SLACK = 1e-6
 
 
@@ -236,16 +249,23 @@ def frequent_shingles(documents: DataFrame, width: int) -> tuple[np.ndarray, np.
     return grams[order], np.log2(top["n"].to_numpy()[order]).astype(np.int64) + 1
 
 
+SKETCH = "doc_id long, one long, two long, th string, fp long, n int, keys array<long>"
+
+
 def _sketches(width: int, similarity: float, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, ranks = frequent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [np.unique(hashes(t, width)) for t in part.column(1).to_pylist()]
-                digests = pa.array([hashlib.md5(h.tobytes()).hexdigest() for h in sets], pa.string())
-                keys = pa.array([prefix(h, grams, ranks, similarity).astype(np.int64) for h in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), digests, pa.array([len(h) for h in sets], pa.int32()), keys], ["doc_id", "th", "n", "keys"])
+                sets = [np.unique(hashes(t, width)) for t in part.column(3).to_pylist()]
+                cols = [
+                    pa.array([hashlib.md5(h.tobytes()).hexdigest() for h in sets], pa.string()),
+                    pa.array([_signed(simhash(h)) for h in sets], pa.int64()),
+                    pa.array([len(h) for h in sets], pa.int32()),
+                    pa.array([prefix(h, grams, ranks, similarity).astype(np.int64) for h in sets], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *cols], [x.split()[0] for x in SKETCH.split(", ")])
 
     return run
 
@@ -256,58 +276,100 @@ def _shingle_sets(width: int):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sets = [np.unique(hashes(t, width)).astype(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rep", "grams"])
 
     return run
 
 
-def _verified(documents: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) that are similar, by their whole sets of shingles."""
-    pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    wanted = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    texts = documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = checkpointed(texts.mapInArrow(_shingle_sets(width), "doc_id long, grams array<long>"))
-    one, two = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - common
-    return checkpointed(pairs.join(one, "a").join(two, "b").where((union == 0) | (common >= similarity * union)).select("a", "b"))
-
-
-def similar_groups(documents: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, group): texts whose word shingles are similar, directly or over others; group is the least doc_id.
-
-    Texts with equal sets of shingles collapse first, however many there are. Similar texts share a key (a shingle of both prefixes),
+def _row_hashes() -> list[Column]:
+    """128 bits of a text, which tell rows with one doc_id, or none, apart."""
+    return [F.xxhash64("text"), F.xxhash64(F.lit(SEED), "text")]
+
+
+class _Texts:
+    """Distinct shingle sets by number (``rep``), and one text of each, for verification."""
+
+    def __init__(self, documents: DataFrame, nodes: DataFrame, width: int, similarity: float):
+        self.rows = documents.select("doc_id", *[h.alias(n) for h, n in zip(_row_hashes(), ("one", "two"), strict=True)], "text")
+        self.nodes, self.width, self.similarity = nodes, width, similarity
+
+    def verified(self, pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """The known edges and those of the pairs (a, b) that are similar, by their whole sets of shingles."""
+        pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        reps = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+        wanted = self.nodes.join(reps, "rep", "left_semi").select("rep", F.col("least.doc_id").alias("d"), F.col("least.one").alias("o"), F.col("least.two").alias("t"))
+        same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("one") == F.col("o")) & (F.col("two") == F.col("t"))
+        # Rows that repeat one another bring their set several times; one is enough.
+        texts = self.rows.join(wanted, same).select("rep", "text").dropDuplicates(["rep"])
+        sets = checkpointed(texts.mapInArrow(_shingle_sets(self.width), "rep long, grams array<long>"))
+        one, two = sets.select(F.col("rep").alias("a"), F.col("grams").alias("x")), sets.select(F.col("rep").alias("b"), F.col("grams").alias("y"))
+        common = F.size(F.array_intersect("x", "y"))
+        union = F.size("x") + F.size("y") - common
+        found = pairs.join(one, "a").join(two, "b").where((union == 0) | (common >= self.similarity * union)).select("a", "b")
+        found = checkpointed(found.unionByName(known) if known else found)
+        release(sets, pairs)
+        return found
+
+    def nearly_equal(self) -> DataFrame:
+        """Pairs of sets whose SimHash fingerprints the grid links, each with the least one of its component, if sizes allow."""
+        tops = checkpointed(self.nodes.groupBy("fp").agg(F.min("rep").alias("top")))
+        roots = components(links(tops.select("fp")))
+        named = tops.join(roots, tops["fp"] == roots["v"], "left").select("fp", "top", F.coalesce("root", "fp").alias("root"))
+        center = named.groupBy("root").agg(F.min("top").alias("b"))
+        sets = self.nodes.select(F.col("rep").alias("a"), "fp", "n").join(named.join(center, "root").select("fp", "b"), "fp").where("a <> b")
+        sizes = self.nodes.select(F.col("rep").alias("b"), F.col("n").alias("m"))
+        fit = F.least("n", "m") >= F.lit(self.similarity) * F.greatest("n", "m")
+        return self.verified(sets.join(sizes, "b").where(fit).select("a", "b"))
+
+
+def similar_sets(documents: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Distinct shingle sets by groups of similar ones: (rep, th, least, group), and the rows' sketches.
+
+    Texts with equal sets of shingles collapse first, however many there are; ``least`` names one row of a set: the least
+    doc_id, null ones last, and the least text hash. Then sets are linked whose SimHash fingerprints meet in the grid of segment bit
+    counts. All other links come from an exact rule: similar sets share a key (a shingle of both prefixes),
     and their keys in common and the shingles after the last one are as many as they need in common. So the pairs that share
-    a key and pass that bound hold all similar ones. Pairs are verified exactly on the whole sets: first each text with one text of
-    each of its keys, for ``STARS`` rounds, then all pairs whose texts are not in one group yet. Of those, one text is
-    always outside the key's largest group, so a large group of near copies does not pair with itself. doc_id must tell rows apart;
-    rows that share one share a group. Wordless and null texts form one group. A null doc_id is its own group's id only if no other is there.
+    a key and pass that bound hold all similar ones. Pairs are verified on the whole sets: first each set with one set of
+    each of its keys, then all pairs whose sets are not in one group yet. Of those, one set is
+    always outside the key's largest group, so a large group of near copies does not pair with itself. Wordless and null texts
+    are one set.
     """
     frequent = documents.sparkSession.sparkContext.broadcast(frequent_shingles(documents, width))
-    sketches = checkpointed(documents.select("doc_id", "text").mapInArrow(_sketches(width, similarity, frequent), "doc_id long, th string, n int, keys array<long>"))
-    copies = checkpointed(sketches.groupBy("th").agg(F.min("doc_id").alias("rep")))
-    least = sketches.join(copies, "th").where(F.col("doc_id") == F.col("rep")).select("rep", "n", "keys").dropDuplicates(["rep"])
-    # A text's shingles from the key on: n less the key's place.
-    members = least.select("rep", "n", F.posexplode("keys").alias("at", "key")).select("key", "rep", "n", (F.col("n") - F.col("at")).alias("rest"))
+    rows = documents.select("doc_id", *_row_hashes(), "text")
+    sketches = checkpointed(rows.mapInArrow(_sketches(width, similarity, frequent), SKETCH))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "one", "two")
+    distinct = sketches.groupBy("th").agg(F.min(row).alias("least"), *[F.any_value(c).alias(c) for c in ("fp", "n", "keys")])
+    whole = checkpointed(distinct.withColumn("rep", F.monotonically_increasing_id()))
+    nodes = checkpointed(whole.drop("keys"))
+    ids = checkpointed(sketches.select("doc_id", "one", "two"))
+    release(sketches)
+    texts = _Texts(documents, nodes, width, similarity)
+    # A set's shingles from the key on: n less the key's place.
+    members = whole.select("rep", "n", F.posexplode("keys").alias("at", "key")).select("key", "rep", "n", (F.col("n") - F.col("at")).alias("rest"))
     shared = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key")
-    met = checkpointed(members.join(checkpointed(shared), "key", "left_semi").withColumn("root", F.col("rep")))
+    met = checkpointed(members.join(shared, "key", "left_semi"))
+    release(whole)
     # No shingle is common between the last common key and the end of the prefix that ends first.
     beyond = lambda n: F.greatest(F.lit(1.0), F.ceil(similarity * F.col(n) - _SLACK)) - 1
     most = F.col("c") + F.greatest(F.least(beyond("n"), F.col("there") - 1), F.least(beyond("m"), F.col("here") - 1))
     may = most >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")) - F.lit(_SLACK)
-    edges, roots = None, None
+    edges = texts.nearly_equal()
+    roots = components(edges)
     for turn in range(STARS + 1):
-        several = met.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        met = checkpointed(met.join(several, "key", "left_semi")) if turn else met
+        named = met.drop("root").join(roots, F.col("rep") == roots["v"], "left").select("key", "rep", "n", "rest", F.coalesce("root", "rep").alias("root"))
+        several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        now = checkpointed(named.join(several, "key", "left_semi"))
+        release(met)
+        met = now
         other = F.struct("rep", "n", "rest", "root").alias("o")
         if turn < STARS:
             place = F.col("rep") if turn == 0 else F.xxhash64("rep")
-            others = met.groupBy("key").agg(F.min_by(F.struct("rep", "n", "rest", "root"), place).alias("o"))
-            mine = met
+            others = now.groupBy("key").agg(F.min_by(F.struct("rep", "n", "rest", "root"), place).alias("o"))
+            mine = now
         else:
-            largest = met.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "root"))["root"].alias("largest"))
-            mine = met.join(checkpointed(largest), "key").where("root <> largest")
-            others = met.select("key", other)
+            largest = now.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "root"))["root"].alias("largest"))
+            mine = now.join(checkpointed(largest), "key").where("root <> largest")
+            others = now.select("key", other)
         # A key gives a pair one row.
         pairs = mine.join(others, "key").where(F.col("root") != F.col("o.root"))
         if turn == STARS:
@@ -315,20 +377,42 @@ def similar_groups(documents: DataFrame, width: int = WIDTH, similarity: float =
         own, its = F.struct("rep", "n", "rest"), F.struct("o.rep", "o.n", "o.rest")
         pairs = pairs.select(F.when(F.col("rep") < F.col("o.rep"), own).otherwise(its).alias("x"), F.when(F.col("rep") < F.col("o.rep"), its).otherwise(own).alias("y"))
         pairs = pairs.select(F.col("x.rep").alias("a"), "x.n", "x.rest", F.col("y.rep").alias("b"), F.col("y.n").alias("m"), F.col("y.rest").alias("other"))
-        pairs = pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"), F.min("rest").alias("here"), F.min("other").alias("there"))
-        found = _verified(documents, pairs.where(may).select("a", "b"), width, similarity)
-        edges = found if edges is None else edges.unionByName(found)
-        roots = checkpointed(components(edges))
-        if turn < STARS:
-            named = met.drop("root").join(roots, met["rep"] == roots["v"], "left")
-            met = checkpointed(named.select("key", "rep", "n", "rest", F.coalesce("root", "rep").alias("root")))
-    named = copies.join(roots, copies["rep"] == roots["v"], "left").select("th", F.coalesce("root", "rep").alias("group"))
-    return sketches.select("doc_id", "th").join(checkpointed(named), "th").select("doc_id", "group")
+        fit = F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m")
+        pairs = pairs.where(fit).groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"), F.min("rest").alias("here"), F.min("other").alias("there"))
+        edges = texts.verified(pairs.where(may).select("a", "b"), edges)
+        roots = components(edges)
+    release(now)
+    grouped = nodes.join(roots, nodes["rep"] == roots["v"], "left").select("rep", "th", "least", F.coalesce("root", "rep").alias("group"))
+    return grouped, ids
 
 
 def keep_one(documents: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents without near duplicates: of each group the row with the least doc_id stays, whole; columns are as before."""
-    groups = similar_groups(documents, width, similarity)
-    stay = groups.groupBy("group").agg(F.min("doc_id").alias("doc_id")).select(F.col("doc_id").alias("__stay"))
-    kept = documents.join(checkpointed(stay), documents["doc_id"].eqNullSafe(F.col("__stay")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """The documents without near duplicates: one whole row of each group stays; columns are as before.
+
+    It is the row with the least doc_id (a null one only if no other is there), among rows of one doc_id that with the least
+    hash of its text, and any of rows that agree in both. Different texts of one doc_id, or of none, are different documents. Null, empty
+    and wordless texts are one group. An empty table gives no rows. Columns other than doc_id and text are carried along whatever
+    their names. A long text is hashed in one piece, so a worker holds its words once.
+    """
+    groups, sketches = similar_sets(documents, width, similarity)
+    winners = checkpointed(groups.groupBy("group").agg(F.min("least").alias("w")).select("w.doc_id", "w.one", "w.two"))
+    repeated = sketches.groupBy("doc_id", "one", "two").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    again = checkpointed(_same_rows(winners, repeated))
+    one, two = _row_hashes()
+    d, o, t = (fresh(documents, c) for c in ("winner", "one", "two"))
+
+    def semi(rows: DataFrame) -> DataFrame:
+        right = rows.select(F.col("doc_id").alias(d), F.col("one").alias(o), F.col("two").alias(t))
+        return documents.join(right, F.col("doc_id").eqNullSafe(F.col(d)) & (one == F.col(o)) & (two == F.col(t)), "left_semi")
+
+    if again.isEmpty():
+        return semi(winners)
+    # Only rows that repeat one another meet; all but one of them go within each task already.
+    several = semi(again).withColumns({o: one, t: two}).dropDuplicates(["doc_id", o, t]).drop(o, t)
+    return semi(_same_rows(winners, again, "left_anti")).unionByName(several)
+
+
+def _same_rows(a: DataFrame, b: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of ``a`` that are (or with ``left_anti`` are not) among those of ``b``, by doc_id (nulls are equal) and both hashes."""
+    b = b.select(F.col("doc_id").alias("d"), F.col("one").alias("o"), F.col("two").alias("t"))
+    return a.join(b, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("one") == F.col("o")) & (F.col("two") == F.col("t")), how)
