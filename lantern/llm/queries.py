@@ -86,30 +86,36 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-#: Lines that are left of each text, as the dedup stage needs them too. ``docs`` stands for the input.
-LINES = r"""
+#: Lines that are left of each text.
+ORACLES["op9_line_templates"] = r"""
+WITH d AS (SELECT *, string_split(text, chr(10)) AS lines FROM documents),
+a AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS pos FROM d),
 l AS (
-  SELECT doc_id, pos, regexp_replace(array_to_string(list_filter(regexp_split_to_array(line, '[ \t\r\f]+'), lambda x: x <> ''), ' '), '\S*[0-9]\S*', '<*>', 'g') AS masked
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM docs)
-), p AS (SELECT *, string_split(masked, ' ') AS t FROM l WHERE len(string_split(masked, ' ')) >= 5),
+  SELECT doc_id, pos, line, regexp_replace(array_to_string(list_filter(regexp_split_to_array(line, '[ \t\r\f]+'), lambda x: x <> ''), ' '), '\S*[0-9]\S*', '<*>', 'g') AS masked FROM a
+), p AS (SELECT *, string_split(masked, ' ') AS t, len(string_split(masked, ' ')) AS k FROM l WHERE len(string_split(masked, ' ')) >= 5 OR length(masked) >= 12),
 c AS (
-  SELECT masked, any_value(t) AS t, min({'d': doc_id, 'p': pos}) AS first, max(doc_id) AS last, count(*) AS n,
-    any_value(len(t) || ' ' || array_to_string(t[1:3], ' ')) AS leaf
+  SELECT masked, any_value(t) AS t, any_value(k) AS k, min({'d': doc_id, 'p': pos}) AS first, max(doc_id) AS last, count(*) AS n,
+    any_value(CASE WHEN k < 5 THEN '= ' || masked ELSE k || ' ' || array_to_string(t[1:3], ' ') END) AS leaf
   FROM p GROUP BY masked
-), k AS (SELECT leaf, pos, token, sum(n) AS n FROM (SELECT leaf, n, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM c) GROUP BY ALL),
-m AS (SELECT leaf, list(token ORDER BY pos) AS profile FROM (SELECT leaf, pos, max({'n': n, 't': token}).t AS token FROM k GROUP BY leaf, pos) GROUP BY leaf),
-j AS (
-  SELECT c.*, CASE WHEN len(list_filter(list_zip(t, profile), lambda z: z[1] = z[2])) >= 0.7 * len(t) THEN leaf ELSE leaf || '= ' || masked END AS template
-  FROM c JOIN m USING (leaf)
-), w AS (SELECT template, min(first) AS owner, max(last) AS last FROM j GROUP BY template HAVING min(first).d <> max(last)),
-g AS (SELECT DISTINCT p.doc_id, p.pos FROM p JOIN j USING (masked) JOIN w USING (template) WHERE {'d': p.doc_id, 'p': p.pos} <> w.owner),
+), f AS (SELECT leaf, count(*) AS kinds FROM c GROUP BY leaf HAVING min(first).d <> max(last)),
+m AS (SELECT * FROM c JOIN f USING (leaf)),
+x AS (SELECT masked, leaf, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM m WHERE kinds > 1),
+w AS (SELECT leaf, pos, token, count(*) AS n FROM x GROUP BY ALL),
+s AS (SELECT masked, list(w.n ORDER BY pos) AS support FROM x JOIN w USING (leaf, pos, token) GROUP BY masked),
+e AS (
+  SELECT masked, leaf || ' = ' || array_to_string(list_transform(list_zip(t, support), lambda z: CASE WHEN z[2] * 2 > list_sort(support, 'DESC')[(len(t) * 7 + 9) // 10] THEN z[1] ELSE '<*>' END), ' ') AS shape
+  FROM s JOIN c USING (masked)
+), r AS (SELECT shape FROM e GROUP BY shape HAVING count(*) >= 3),
+j AS (SELECT m.*, CASE WHEN r.shape IS NULL THEN '= ' || m.masked ELSE r.shape END AS template FROM m LEFT JOIN e USING (masked) LEFT JOIN r ON e.shape = r.shape),
+o AS (
+  SELECT template, min(first) AS owner FROM j GROUP BY template
+  HAVING min(first).d <> max(last) AND coalesce(max(n) FILTER (k < 5), 10) >= 10
+), g AS (SELECT p.doc_id, p.pos FROM p JOIN j USING (masked) JOIN o USING (template) WHERE {'d': p.doc_id, 'p': p.pos} <> o.owner),
 kept AS (
-  SELECT s.doc_id, string_agg(s.line, chr(10) ORDER BY s.pos) FILTER (g.pos IS NULL) AS text, count(*) AS n_lines, count(g.pos) AS n_dropped
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM docs) s
-  LEFT JOIN g ON g.doc_id = s.doc_id AND g.pos = s.pos GROUP BY s.doc_id
-)"""
-
-ORACLES["op9_line_templates"] = f"""
-WITH docs AS (SELECT * FROM documents), {LINES}
-SELECT doc_id, n_lines, n_dropped, CAST(length(coalesce(text, '')) AS BIGINT) AS kept_chars, sha256(coalesce(text, '')) AS kept_sha256 FROM kept
+  SELECT a.doc_id, string_agg(a.line, chr(10) ORDER BY a.pos) FILTER (g.pos IS NULL) AS text, count(*) AS n_lines, count(g.pos) AS n_dropped
+  FROM a LEFT JOIN g ON g.doc_id = a.doc_id AND g.pos = a.pos GROUP BY a.doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, CAST(length(coalesce(kept.text, '')) AS BIGINT) AS kept_chars,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """

@@ -419,27 +419,84 @@ def test_packed_documents_are_whole(odd, empty):
 # 9: lines
 
 
-def test_recurring_templates_go(spark):
-    texts = {
-        1: "Page 1 of the long report here\nonly in the first one of them all",
-        2: "Page 22 of the long report here\nsecond text has its own words here",
-        3: "short line\nPage x of the long report here\nOne two three four five six seven",
-        4: "short line\nOne two three four five six SEVEN\n\nlast words of this one here",
-        5: None,
-        6: "",
-    }
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("first", F.lit(1))
-    out = {r.doc_id: r for r in lines.drop_recurring(df).collect()}
-    assert out[1].text == texts[1] and out[2].text == "second text has its own words here"
-    assert out[4].text == "short line\n\nlast words of this one here" and out[3].n_dropped == 0
-    assert out[5].text is None and out[6].text == "" and [c for c in lines.drop_recurring(df).columns] == ["doc_id", "text", "first", "n_lines", "n_dropped"]
+def plain_lines(rows):
+    """(doc_id, text) rows to (doc_id, kept text, lines, dropped): the template tree, said again in plain loops."""
+    signed = lambda t: simhash._signed(xxhash.xxh64_intdigest(t.encode(), 42))
+    mask = lambda t: re.sub(r"\S*[0-9]\S*", "<*>", " ".join(x for x in re.split("[ \t\r\f]+", t) if x))
+    places = collections.defaultdict(list)
+    for d, t in rows:
+        for pos, line in enumerate(t.split("\n") if t is not None else []):
+            m = mask(line)
+            if m.count(" ") >= 4 or len(m) >= 12:
+                places[m].append((d is not None, d or 0, signed(t), pos))
+    leaves = collections.defaultdict(list)
+    for m in places:
+        w = m.split(" ")
+        leaves[(len(w), *w[:3]) if len(w) >= 5 else m].append(m)
+    template = {}
+    for group in leaves.values():
+        if len({p[:3] for m in group for p in places[m]}) < 2:
+            continue
+        shapes = {}
+        for m in group:
+            w = m.split(" ")
+            support = [sum(o.split(" ")[i] == x for o in group) for i, x in enumerate(w)]
+            line = sorted(support, reverse=True)[-(-7 * len(w) // 10) - 1]
+            shapes[m] = tuple(x if n * 2 > line else "<*>" for x, n in zip(w, support, strict=True))
+        kinds = collections.Counter(shapes.values())
+        for m in group:
+            template[m] = (shapes[m], len(group)) if len(group) > 1 and kinds[shapes[m]] >= 3 else m
+    owner = {}
+    for t in set(template.values()):
+        held = [p for m in places if template.get(m) == t for p in places[m]]
+        least = 10 if isinstance(t, str) and t.count(" ") < 4 else 2
+        if len({p[:3] for p in held}) >= 2 and len(held) >= least:
+            owner[t] = min(held)
+    out = []
+    for d, t in rows:
+        kept, n = [], 0
+        for pos, line in enumerate(t.split("\n") if t is not None else []):
+            n += 1
+            first = owner.get(template.get(mask(line))) if mask(line) in places else None
+            if first is None or first == (d is not None, d or 0, signed(t), pos):
+                kept.append(line)
+        out.append((d, "\n".join(kept), n, n - len(kept)))
+    return out
+
+
+def told(rows):
+    return collections.Counter((d, n, k, len(t), sha(t)) for d, t, n, k in rows)
+
+
+def test_several_templates_of_a_leaf_recur(spark):
+    names = ["ann", "bob", "cem", "dan", "eve"]
+    rows = [(i, f"alpha beta gamma user {w} logged in here\nalpha beta gamma disk {w} has failed today\n{w} says {i} things of a kind that " + w * 3) for i, w in enumerate(names)]
+    rows += [(7, "One two three four five six seven"), (8, "One two three four five six SEVEN")]
+    rows += [(20 + i, "All rights reserved.\n\n}") for i in range(12)] + [(40, "short line"), (41, "short line"), (42, None), (43, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("first", "owner", "hash", "gone")})
+    got = lines.drop_recurring(df)
+    assert got.columns == [*df.columns, "n_lines", "n_dropped"]
+    out = {r.doc_id: r for r in got.collect()}
+    assert [out[i].text for i in range(5)] == [rows[0][1], *[f"{w} says {i} things of a kind that {w * 3}" for i, w in enumerate(names) if i]]
+    assert [out[i].n_dropped for i in (7, 8, 20, 21, 31, 40, 41, 42, 43)] == [0, 0, 0, 1, 1, 0, 0, 0, 0] and out[42].text is None and out[31].text == "\n}"
+
+
+def test_lines_equal_the_plain_tree(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(120):
+        own = [" ".join(r.choice("abcdef") * r.randint(1, 3) if r.random() < 0.3 else f"k{c}" for c in "uvwxyz"[: r.randint(1, 6)]) for _ in range(r.randint(0, 6))]
+        log = [f"{r.choice(['node', 'host'])} at rack {r.choice('pqrst') * r.randint(1, 4)} is {r.choice(['up', 'down'])} {r.randint(0, 99)}" for _ in range(r.randint(0, 4))]
+        rows.append((r.choice([None, i, i, i, 5]), r.choice([None, "", "same line of this text here\nand more"]) if r.random() < 0.1 else "\n".join(own + log + ["All rights reserved."] * r.randint(0, 1))))
+    rows += rows[:10]
+    got = lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((x.doc_id, x.n_lines, x.n_dropped, x.kept_chars, x.kept_sha256) for x in got) == told(plain_lines(rows))
+    assert sum(x.n_dropped for x in got) > 50
 
 
 def test_lines_of_odd_texts(odd, empty):
     out = lines.line_report(odd).collect()
-    assert len(out) == odd.count()
-    kept = {r.doc_id: r for r in out}
-    assert kept[2].n_dropped > 0 and kept[1].n_dropped == 0 and kept[9].n_dropped == 0 and kept[4].n_lines == 0
+    assert collections.Counter((x.doc_id, x.n_lines, x.n_dropped, x.kept_chars, x.kept_sha256) for x in out) == told(plain_lines(rows_of(odd)))
     assert lines.line_report(empty).count() == 0
 
 
