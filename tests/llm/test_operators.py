@@ -392,9 +392,95 @@ def test_best_fit_keeps_its_promises():
             assert [a for a, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))]
             total = sum(n for _, n in parts)
             assert final[b] == min(s for s in sizes if s >= total)
-    # Best fit, brute force: each item goes where the least room is left.
+    # Each item goes where the least room is left.
     bins, _, _ = packing.best_fit([7, 6, 4, 3], (10,))
     assert bins == [0, 1, 1, 0]
+    with pytest.raises(ValueError):
+        packing.best_fit([11], (10,))
+
+
+def plain_best_fit(items, sizes, cost):
+    """Bins as (size when opened, items), by looking at every open bin and laying out every size."""
+    bins = []
+    for i, n in enumerate(items):
+        fits = [b for b in bins if b[0] - sum(b[1]) >= n]
+        if fits:
+            min(fits, key=lambda b: b[0] - sum(b[1]))[1].append(n)
+            continue
+        prices = []
+        for s in sorted(x for x in sizes if x >= n):
+            used = n
+            for m in items[i + 1 :]:
+                used += m if used + m <= s else 0
+            prices.append((cost(min(x for x in sizes if x >= used)) / used, s))
+        bins.append((min(prices)[1], [n]))
+    return bins
+
+
+def least_cost(items, sizes, cost):
+    """The cheapest packing of a few items, over all ways to part them."""
+    best = float("inf")
+
+    def go(i, parts):
+        nonlocal best
+        if i == len(items):
+            best = min(best, sum(cost(min(s for s in sizes if s >= sum(p))) for p in parts))
+            return
+        for p in parts:
+            if sum(p) + items[i] <= max(sizes):
+                p.append(items[i])
+                go(i + 1, parts)
+                p.pop()
+        parts.append([items[i]])
+        go(i + 1, parts)
+        parts.pop()
+
+    go(0, [])
+    return best
+
+
+def test_best_fit_equals_the_plain_one_and_nears_the_optimum():
+    r = random.Random(4)
+    sizes, cost = (20, 40, 80), lambda s: s + s * s / 240 + 2
+    paid = least = 0.0
+    for k in range(120):
+        items = sorted((r.choice([r.randint(1, 80), r.randint(1, 20)]) for _ in range(r.randint(1, 7 if k < 60 else 200))), reverse=True)
+        bins, _, final = packing.best_fit(items, sizes, cost)
+        got = collections.defaultdict(list)
+        for b, n in zip(bins, items, strict=True):
+            got[b].append(n)
+        assert list(got.values()) == [b[1] for b in plain_best_fit(items, sizes, cost)]
+        if k < 60:
+            paid += sum(map(cost, final))
+            least += least_cost(items, sizes, cost)
+    assert least <= paid <= 1.1 * least
+
+
+def test_sizes_are_chosen_jointly():
+    lengths = sorted((max(1, min(8192, int(random.Random(i).lognormvariate(7.2, 1)))) for i in range(2048)), reverse=True)
+
+    def paid(bins, final):
+        return sum(map(packing.bin_cost, final)), 1 - sum(lengths) / sum(final)
+
+    bins, _, final = packing.best_fit(lengths)
+    opened = collections.Counter(final)
+    assert len(opened) == 3
+    ours, waste = paid(bins, final)
+    for only in packing.SIZES[-1:]:
+        cost, wasted = paid(*packing.best_fit(lengths, (only,))[::2])
+        assert ours < 0.95 * cost
+    # Opening the largest size each time and shrinking it in the end costs more too.
+    greedy, _, shrunk = packing.best_fit(lengths, packing.SIZES, lambda s: -s)
+    assert ours < sum(map(packing.bin_cost, shrunk)) and waste < 0.05
+
+
+def test_repeated_rows_are_spread_over_groups(spark):
+    df = spark.range(20000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(100).alias("n"))
+    out = packing.pack(df, "doc_id", F.col("n")).withColumn("number", F.substring_index("bin", "-", 1))
+    sizes = [r["count"] for r in out.groupBy("number").count().collect()]
+    assert sum(sizes) == 20000 and max(sizes) < 1.3 * packing.GROUP
+    total = packing.summary(out).agg(F.sum("units"), F.sum("cost"), F.sum("bound")).first()
+    assert total[0] == 2_000_000 and total[1] < 1.05 * total[2]
 
 
 def test_packed_documents_are_whole(odd, empty):
