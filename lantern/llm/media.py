@@ -1,9 +1,14 @@
 """Media columns: MPEG transport streams.
 
-``mux`` stores a payload as a transport stream: a program association table, a program map table with one private
-stream, and packetised elementary packets of at most ``PES_BYTES`` bytes whose first packet carries a random-access flag
-and a presentation time. ``demux`` reads the stream from its bytes alone: it parses the tables, follows the continuity
-counters, reassembles the elementary packets and returns the payload with its times and random-access points.
+``mux`` stores a payload of 8-bit samples as a transport stream of one program with one private stream. The samples go
+into elementary packets of ``PES_BYTES``, each with a presentation time that follows from its first sample and ``RATE``, and with a clock
+reference in its first transport packet, less than 100 ms apart. Every ``GROUP`` elementary packets the tables (program association and
+program map) are sent again, and the elementary packet that follows is a random-access point: a reader that tunes in there has all it needs.
+
+``demux`` reads a stream from its bytes alone: it parses the tables, over several packets where need be, follows the continuity
+counters, reassembles the elementary packets and returns the payload with its times and random-access points. It passes
+over packets that are marked as damaged, repeated once, or hold no payload, honours the discontinuity flag, and leaves out
+elementary packets of which a part is lost.
 """
 
 from __future__ import annotations
@@ -21,8 +26,12 @@ PACKET, HEAD, SYNC = 188, 4, 0x47
 PAT_PID, PMT_PID, DATA_PID = 0, 0x1000, 0x0100
 STREAM_TYPE, STREAM_ID = 0x06, 0xBD
 UNIT = 192
-PES_BYTES = 64 * UNIT * 4
-TICKS = 3600  # 90 kHz ticks from one elementary packet to the next
+#: Samples per second of the stored samples, ticks per second of the clock.
+RATE, CLOCK = 48_000, 90_000
+PES_BYTES, GROUP = 24 * UNIT, 5
+TICKS = PES_BYTES * CLOCK // RATE
+#: Presentation lags the clock reference by so many ticks.
+DELAY = CLOCK // 10
 
 
 def _crc_table() -> list[int]:
@@ -56,10 +65,10 @@ def _table_packet(pid: int, section: bytes) -> bytes:
     return data + b"\xff" * (PACKET - len(data))
 
 
-TABLES = _table_packet(PAT_PID, _section(0, 1, struct.pack(">HH", 1, 0xE000 | PMT_PID))) + _table_packet(
-    PMT_PID,
-    _section(2, 1, struct.pack(">HH", 0xE000 | DATA_PID, 0xF000) + struct.pack(">BHH", STREAM_TYPE, 0xE000 | DATA_PID, 0xF000)),
-)
+_PAT = _table_packet(PAT_PID, _section(0, 1, struct.pack(">HH", 1, 0xE000 | PMT_PID)))
+_PMT = _table_packet(PMT_PID, _section(2, 1, struct.pack(">HH", 0xE000 | DATA_PID, 0xF000) + struct.pack(">BHH", STREAM_TYPE, 0xE000 | DATA_PID, 0xF000)))
+#: The tables by the number of times they were sent, modulo 16: their packets count on too.
+TABLES = [b"".join(t[:3] + bytes([0x10 | k]) + t[4:] for t in (_PAT, _PMT)) for k in range(16)]
 
 
 def _stamp(ticks: int) -> bytes:
@@ -72,9 +81,9 @@ def _pes(data: bytes, ticks: int) -> bytes:
     return b"\0\0\1" + bytes([STREAM_ID]) + struct.pack(">H", length if length < 65536 else 0) + b"\x84\x80\x05" + _stamp(ticks) + data
 
 
-def _packets(unit: bytes, counter: int) -> tuple[np.ndarray, int]:
+def _packets(unit: bytes, counter: int, ticks: int, random_access: bool) -> tuple[np.ndarray, int]:
     """Transport packets of one elementary packet, and the next continuity counter."""
-    first_room = PACKET - HEAD - 2  # the first packet has an adaptation field with the random-access flag
+    first_room = PACKET - HEAD - 8  # the first packet has an adaptation field with flags and a clock reference
     room = PACKET - HEAD
     n = len(unit)
     if n < first_room:
@@ -88,11 +97,12 @@ def _packets(unit: bytes, counter: int) -> tuple[np.ndarray, int]:
     out[:, 2] = DATA_PID & 0xFF
     out[:, 3] = 0x10 | (np.arange(counter, counter + counts) & 15)
     out[0, 3] |= 0x20
-    out[0, 4] = 1 + stuffing_first
-    out[0, 5] = 0x40
+    out[0, 4] = 7 + stuffing_first
+    out[0, 5] = 0x10 | (0x40 if random_access else 0)
+    out[0, 6:12] = list(struct.pack(">IH", ticks >> 1, (ticks & 1) << 15 | 0x7E00))
     data = np.frombuffer(unit, np.uint8)
     take = min(n, first_room)
-    out[0, 6 + stuffing_first :] = data[:take]
+    out[0, 12 + stuffing_first :] = data[:take]
     rest = data[take:]
     if counts > 1:
         whole = (counts - 2) * room
@@ -110,31 +120,90 @@ def _packets(unit: bytes, counter: int) -> tuple[np.ndarray, int]:
 
 def mux(payload: bytes) -> bytes:
     """The payload as a transport stream. An empty payload gives the tables alone."""
-    parts, counter = [TABLES], 0
+    parts, counter = [] if payload else [TABLES[0]], 0
     for k, at in enumerate(range(0, len(payload), PES_BYTES)):
-        packets, counter = _packets(_pes(payload[at : at + PES_BYTES], k * TICKS), counter)
+        if k % GROUP == 0:
+            parts.append(TABLES[k // GROUP % 16])
+        packets, counter = _packets(_pes(payload[at : at + PES_BYTES], DELAY + k * TICKS), counter, k * TICKS, k % GROUP == 0)
         parts.append(packets.tobytes())
     return b"".join(parts)
 
 
 class Stream:
-    """What a transport stream holds: ``payload``, ``pts`` and ``random_access`` (payload offsets) per elementary packet."""
-
-    __slots__ = ("payload", "pid", "stream_type", "pts", "offsets", "random_access", "counter_errors", "packets")
-
-
-def _read_section(packet: np.ndarray, table_id: int) -> bytes:
-    raw = packet.tobytes()[HEAD:]
-    raw = raw[1 + raw[0] :]
-    length = struct.unpack(">H", raw[1:3])[0] & 0x0FFF
-    section = raw[: 3 + length]
-    if section[0] != table_id or crc32_mpeg(section):
-        raise ValueError("damaged table")
-    return section[8:-4]
+    """What a transport stream holds.
 
+    ``payload``, and per whole elementary packet ``pts`` and ``offsets`` (into the payload); ``random_access`` are the offsets where a
+    reader may begin. ``counter_errors`` counts breaks of the continuity counter, ``damaged`` elementary packets that are left out as a part of
+    them is missing, ``repeated`` packets that came twice. ``clock`` are the clock references.
+    """
 
-def demux(stream: bytes) -> Stream:
-    """Read a stream back. A lost or repeated packet shows in ``counter_errors``; a damaged table raises ValueError."""
+    __slots__ = ("payload", "pid", "stream_type", "pts", "offsets", "random_access", "clock", "counter_errors", "damaged", "repeated", "packets")
+
+
+def _sections(p: np.ndarray) -> Iterator[bytes]:
+    """Whole table sections of the packets of one PID, those that run over several packets included."""
+    held = b""
+    for q in p:
+        raw = q.tobytes()
+        if not raw[3] & 0x10 or raw[1] & 0x80:
+            continue
+        data = raw[HEAD + (raw[4] + 1 if raw[3] & 0x20 else 0) :]
+        if raw[1] & 0x40:
+            begin = 1 + data[0]
+            held, data = held + data[1:begin] if held else b"", data[begin:]
+            yield from _cut(held)
+            held = data
+        elif held:
+            held += data
+        while len(held) >= 3 and held[0] != 0xFF and len(held) >= (n := 3 + (struct.unpack(">H", held[1:3])[0] & 0x0FFF)):
+            yield held[:n]
+            held = held[n:]
+        if held[:1] == b"\xff":
+            held = b""
+
+
+def _cut(held: bytes) -> Iterator[bytes]:
+    if len(held) >= 3 and held[0] != 0xFF and len(held) >= (n := 3 + (struct.unpack(">H", held[1:3])[0] & 0x0FFF)):
+        yield held[:n]
+
+
+def _table(p: np.ndarray, table_id: int) -> bytes:
+    """Body of the first sound section of a kind that is in force."""
+    for section in _sections(p):
+        if section[0] == table_id and not crc32_mpeg(section) and section[5] & 1:
+            return section[8:-4]
+    raise ValueError("no sound table")
+
+
+def _followed(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Packets that bring payload, whether a break comes before each, and the numbers of breaks and of repeated packets."""
+    control = own[:, 3] >> 4 & 3
+    own = own[(control & 1 == 1) & (own[:, 1] & 0x80 == 0)]
+    counters = own[:, 3] & 15
+    broken = np.zeros(len(own), bool)
+    if len(own) < 2:
+        return own, broken, 0, 0
+    step = (counters[1:] - counters[:-1]) & 15
+    same = np.zeros(len(own), bool)
+    if (step == 0).any():  # a packet may come twice in a row, byte for byte but for its clock reference
+        for i in (np.flatnonzero(step == 0) + 1).tolist():
+            clock = own[i, 3] & 0x20 and own[i, 4] >= 7 and own[i, 5] & 0x10
+            a, b = own[i].copy(), own[i - 1].copy()
+            if clock:
+                a[6:12] = b[6:12] = 0
+            same[i] = not same[i - 1] and bool((a == b).all())
+        own, counters = own[~same], counters[~same]
+        step = (counters[1:] - counters[:-1]) & 15
+    told = (own[1:, 3] & 0x20 != 0) & (own[1:, 4] > 0) & (own[1:, 5] & 0x80 != 0)
+    broken = np.concatenate([[False], (step != 1) & ~told])
+    return own, broken, int(broken.sum()), int(same.sum())
+
+
+def demux(stream: bytes, program: int | None = None, whole: bool = False) -> Stream:
+    """Read one program's first elementary stream back (without a number: the first program).
+
+    With ``whole`` anything lost raises ValueError; else it shows in the counts. Lost sync or no sound table always raises ValueError.
+    """
     if len(stream) % PACKET:
         raise ValueError("not whole packets")
     p = np.frombuffer(stream, np.uint8).reshape(-1, PACKET)
@@ -142,39 +211,47 @@ def demux(stream: bytes) -> Stream:
         raise ValueError("lost sync")
     pid = ((p[:, 1].astype(np.uint16) & 0x1F) << 8) | p[:, 2]
     out = Stream()
-    pat = _read_section(p[np.flatnonzero(pid == PAT_PID)[0]], 0)
-    pmt_pid = struct.unpack(">HH", pat[:4])[1] & 0x1FFF
-    pmt = _read_section(p[np.flatnonzero(pid == pmt_pid)[0]], 2)
+    pat = _table(p[pid == PAT_PID], 0)
+    programs = {n: v & 0x1FFF for n, v in struct.iter_unpack(">HH", pat) if n}  # number 0 names the network's PID
+    if not programs or program is not None and program not in programs:
+        raise ValueError("no such program")
+    pmt = _table(p[pid == programs[next(iter(programs)) if program is None else program]], 2)
     info = struct.unpack(">H", pmt[2:4])[0] & 0x0FFF
+    if len(pmt) < 9 + info:
+        raise ValueError("the program has no stream")
     out.stream_type, es = struct.unpack(">BH", pmt[4 + info : 7 + info])
     out.pid = es & 0x1FFF
-    own = p[pid == out.pid]
+    own, broken, out.counter_errors, out.repeated = _followed(p[pid == out.pid])
     out.packets = len(own)
-    counters = own[:, 3] & 15
-    out.counter_errors = int(((counters[1:] - counters[:-1]) & 15 != 1).sum()) if len(own) > 1 else 0
-    adapt = (own[:, 3] & 0x20) != 0
+    adapt = own[:, 3] & 0x20 != 0
     start = HEAD + np.where(adapt, own[:, 4].astype(np.int64) + 1, 0)
-    begins = (own[:, 1] & 0x40) != 0
-    flagged = adapt & (own[:, 4] > 0) & ((own[:, 5] & 0x40) != 0)
-    keep = np.arange(PACKET) >= start[:, None]
-    data = own[keep].tobytes()
-    ends = np.cumsum(PACKET - start)
-    at = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    begins = own[:, 1] & 0x40 != 0
+    flags = np.where(adapt & (own[:, 4] > 0), own[:, 5], 0)
+    out.clock = [int.from_bytes(q[6:10].tobytes()) << 1 | int(q[10]) >> 7 for q in own[flags & 0x10 != 0]]
+    data = own[np.arange(PACKET) >= start[:, None]].tobytes()
+    ends = np.cumsum(np.maximum(PACKET - start, 0))
+    at = np.concatenate([[0], ends])[:-1].astype(np.int64)
     firsts = np.flatnonzero(begins)
     bounds = [*at[firsts].tolist(), len(data)]
-    pieces, out.pts, out.offsets, out.random_access, size = [], [], [], [], 0
+    inner = broken & ~begins
+    lost = np.add.reduceat(inner, firsts) > 0 if len(firsts) else np.zeros(0, bool)
+    pieces, out.pts, out.offsets, out.random_access, out.damaged, size = [], [], [], [], 0, 0
     for k, i in enumerate(firsts.tolist()):
         unit = data[bounds[k] : bounds[k + 1]]
-        if unit[:3] != b"\0\0\1":
-            raise ValueError("lost an elementary packet's start")
+        length = struct.unpack(">H", unit[4:6])[0] if len(unit) >= 6 else 0
+        if lost[k] or unit[:3] != b"\0\0\1" or len(unit) < 14 or length and len(unit) != length + 6:
+            out.damaged += 1
+            continue
         t = unit[9:14]
         out.pts.append((t[0] & 0x0E) << 29 | t[1] << 22 | (t[2] & 0xFE) << 14 | t[3] << 7 | t[4] >> 1)
         out.offsets.append(size)
-        if flagged[i]:
+        if flags[i] & 0x40:
             out.random_access.append(size)
         piece = unit[9 + unit[8] :]
         size += len(piece)
         pieces.append(piece)
+    if whole and (out.damaged or out.counter_errors or len(own) and not begins[0]):
+        raise ValueError("a part of the stream is lost")
     out.payload = b"".join(pieces)
     return out
 
@@ -194,9 +271,12 @@ SCHEMA = (
 def _digest(text: str | None) -> tuple:
     n, payload = payload_of(text)
     media = mux(payload)
-    got = demux(media)
+    got = demux(media, whole=True)
     back = got.payload
-    feature = f"pid={got.pid};type={got.stream_type};pes={len(got.pts)};packets={got.packets};cc_errors={got.counter_errors};last_pts={got.pts[-1]}"
+    x = np.frombuffer(back, np.uint8).astype(np.float64) - 128
+    crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
+    ms = (got.pts[-1] - got.pts[0] + len(back[got.offsets[-1] :]) * CLOCK // RATE) * 1000 // CLOCK
+    feature = f"ms={ms};packets={got.packets};pes={len(got.pts)};access={len(got.random_access)};mean={x.mean():.3f};rms={np.sqrt((x * x).mean()):.3f};crossings={crossings}"
     return (
         n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, got.pts, got.random_access,
     )
@@ -216,7 +296,8 @@ def media_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def store_documents(documents: DataFrame) -> DataFrame:
     """Store every text as a transport stream and read it back.
 
-    One row per input row, also for repeated ones; a null text is the empty text, whose payload is 192 spaces. Only doc_id and text are read.
-    The work is row by row: no shuffle, and memory is bounded by 256 texts and their streams.
+    One row per input row, also for repeated ones and those without doc_id; a null text is the empty text, whose payload is 192 spaces. Only doc_id
+    and text are read, so other columns may have any names; an empty table gives no rows. The work is row by row: no shuffle, and a worker holds
+    a batch of texts and the stream of one of them, however long.
     """
     return documents.select("doc_id", "text").mapInArrow(media_batches, SCHEMA)

@@ -357,15 +357,15 @@ def test_similar_texts_are_found_beside_a_common_passage(spark):
 
 def test_transport_streams_round_trip(odd, empty):
     r = np.random.default_rng(1)
-    for n in [0, 1, 175, 176, 177, 191, 192, 5000, media.PES_BYTES - 1, media.PES_BYTES, media.PES_BYTES + 1, 3 * media.PES_BYTES]:
+    for n in [0, 1, 161, 162, 163, 175, 176, 177, 191, 192, 5000, media.PES_BYTES - 1, media.PES_BYTES, media.PES_BYTES + 1, 13 * media.PES_BYTES + 7]:
         data = r.integers(0, 256, n, dtype=np.uint8).tobytes()
-        got = media.demux(media.mux(data))
-        assert got.payload == data and got.counter_errors == 0 and len(got.pts) == -(-n // media.PES_BYTES)
-    stream = media.mux(bytes(2000))
-    lost = stream[: 4 * 188] + stream[5 * 188 :]
-    assert media.demux(lost).counter_errors == 1
+        got = media.demux(media.mux(data), whole=True)
+        k = -(-n // media.PES_BYTES)
+        assert got.payload == data and got.counter_errors == got.damaged == got.repeated == 0
+        assert got.pts == [media.DELAY + i * media.TICKS for i in range(k)] and got.clock == [i * media.TICKS for i in range(k)]
+        assert got.random_access == [i * media.PES_BYTES for i in range(0, k, media.GROUP)]
     with pytest.raises(ValueError):
-        media.demux(stream[:20] + b"\xff" + stream[21:])
+        media.demux(b"\0" + media.mux(bytes(2000))[1:])
     out = media.store_documents(odd.withColumn("feature", F.lit(0))).collect()
     want = collections.Counter()
     for d, t in rows_of(odd):
@@ -375,6 +375,59 @@ def test_transport_streams_round_trip(odd, empty):
     assert media.store_documents(empty).count() == 0
 
 
+def cut(stream):
+    return [stream[i : i + 188] for i in range(0, len(stream), 188)]
+
+
+def test_streams_with_faults():
+    data = np.random.default_rng(2).integers(0, 256, 12 * media.PES_BYTES, dtype=np.uint8).tobytes()
+    packets = cut(media.mux(data))
+    own = [i for i, q in enumerate(packets) if (q[1] & 31) << 8 | q[2] == media.DATA_PID]
+    read = lambda qs, **k: media.demux(b"".join(qs), **k)
+    twice = read(packets[: own[5] + 1] + packets[own[5] :], whole=True)
+    assert (twice.payload, twice.repeated) == (data, 1)
+    first = bytearray(packets[own[0]])
+    first[11] ^= 1  # a packet that comes again may have another clock reference
+    assert read(packets[: own[0] + 1] + [bytes(first)] + packets[own[1] :], whole=True).payload == data
+    lost = read(packets[: own[3]] + packets[own[4] :])
+    assert (lost.counter_errors, lost.damaged, lost.payload) == (1, 1, data[media.PES_BYTES :])
+    with pytest.raises(ValueError):
+        read(packets[: own[3]] + packets[own[4] :], whole=True)
+    damaged = bytes([71, packets[own[3]][1] | 0x80]) + packets[own[3]][2:]
+    assert read(packets[: own[3]] + [damaged] + packets[own[4] :]).payload == data[media.PES_BYTES :]
+    empty = bytes([71, 1, 0, 0x20 | packets[own[2]][3] & 15, 183, 0]) + b"\xff" * 182  # adaptation field alone: counts nothing
+    assert read(packets[: own[3]] + [empty] + packets[own[3] :], whole=True).payload == data
+    # After a told discontinuity the counter starts anew.
+    starts = [i for i in own if packets[i][1] & 0x40]
+    turned = [bytes([*q[:3], q[3] & 0xF0 | (q[3] + 7) & 15, *q[4:]]) if i in own and i >= starts[3] else q for i, q in enumerate(packets)]
+    assert read(turned).counter_errors == 1
+    turned[starts[3]] = bytes([*turned[starts[3]][:5], turned[starts[3]][5] | 0x80, *turned[starts[3]][6:]])
+    assert read(turned, whole=True).payload == data
+    # A reader that tunes in at a random-access point has tables, a time and whole packets.
+    later = media.demux(b"".join(packets[packets.index(media.TABLES[1][:188]) :]), whole=True)
+    assert later.payload == data[media.GROUP * media.PES_BYTES :] and later.pts[0] == media.DELAY + media.GROUP * media.TICKS
+
+
+def test_tables_by_hand():
+    import struct
+
+    data = bytes(range(200)) * 3
+    body = cut(media.mux(data))[2:]
+    # A network entry, two programs, a map with descriptors that runs over two packets, and stuffing packets.
+    pat = media._section(0, 1, struct.pack(">HHHHHH", 0, 0xE010, 7, 0xE123, 9, 0xF000))
+    note = bytes([0x80, 198]) + bytes(198)
+    pmt = media._section(2, 9, struct.pack(">HH", 0xE100, 0xF000 | len(note)) + note + struct.pack(">BHH", 6, 0xE100, 0xF000))
+    whole = b"\0" + pmt
+    maps = [b"\x47" + struct.pack(">H", 0x5000) + b"\x10" + whole[:184], b"\x47" + struct.pack(">H", 0x1000) + b"\x11" + whole[184:].ljust(184, b"\xff")]
+    null = b"\x47\x1f\xff\x10" + bytes(184)
+    stream = b"".join([media._table_packet(0, pat), null, maps[0], null, maps[1], *body])
+    got = media.demux(stream, 9, whole=True)
+    assert got.payload == data and got.pid == 0x100 and len(pmt) > 184
+    for bad in (lambda: media.demux(stream, 8), lambda: media.demux(stream, 7), lambda: media.demux(stream.replace(pmt[-4:], bytes(4)), 9)):
+        with pytest.raises(ValueError):
+            bad()
+
+
 # 8: packing
 
 
