@@ -12,13 +12,15 @@ gives the text back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 #: Token costs of attachments: one token per square patch of an image, per slice of audio, and a number per page.
 PATCH, AUDIO_PER_SECOND, PER_PAGE = 28, 25, 256
 LOSS_ROLES = ("assistant",)
+#: Types of attachments.
+KINDS = ("image", "audio", "document")
 
 
 def escape(c: Column) -> Column:
@@ -54,69 +56,48 @@ def format_conversations(messages: DataFrame, loss_roles: tuple[str, ...] = LOSS
     """One row per conversation from rows (conv_id, turn, role, parts).
 
     Returns conv_id, formatted, loss_spans (start and end in code points of ``formatted``, end exclusive),
-    attachments (index, type, ref, tokens) and n_attachment_tokens. Messages go by turn; equal turns by role, then by
-    their rendered text; null turns come first; a null role is the empty role; a null or empty list of parts is an empty message; rows
-    without conv_id form one conversation with a null id. A part of unknown type is a document-like placeholder of 0
-    tokens. No rows give no rows. Further columns are ignored.
+    attachments (index, type, ref, tokens) and n_attachment_tokens. A placeholder is ``<type index>``, its index being the attachment's; a part
+    of unknown type is ``<part index>`` of 0 tokens, as a type is not trusted with the markup. Messages go by turn; equal turns by role, then by
+    their rendered text; null turns come first; a null role is the empty role; a null or empty list of parts is an empty message; a null part is an empty text; rows
+    without conv_id form one conversation with a null id. No rows give no rows. Further columns, of any names, are ignored. A conversation is one
+    row in the end, so one task holds its text; its turns are placed by a window, which spills.
     """
     parts = F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>"))
     role = F.coalesce("role", F.lit(""))
-    # The visitor: a text part gives its escaped text, any other a placeholder that is numbered once turns are in order.
-    bodies = F.transform(
-        parts,
-        lambda p: F.when(_is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(
-            F.concat(F.lit("<"), escape(F.coalesce(p["type"], F.lit(""))), F.lit(">"))
+    kind = lambda p: F.when(p["type"].isin(*KINDS), p["type"]).otherwise("part")
+    files = F.transform(F.filter(parts, lambda p: ~_is_text(p)), lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens")))
+    # The visitor: a text part gives its escaped text, any other a mark that is numbered once turns are in order.
+    pieces = F.transform(parts, lambda p: F.when(_is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<"), kind(p))))
+    rows = messages.select("conv_id", "turn", role.alias("role"), pieces.alias("pieces"), F.array_join(pieces, "").alias("raw"), files.alias("files"))
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "raw")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("conv_id", "role", "pieces", "files", F.row_number().over(w).alias("place"), F.coalesce(F.sum(F.size("files")).over(before), F.lit(0)).alias("first"))
+    # Escaped text never starts with "<", so a piece that does is a mark.
+    number = F.aggregate(
+        "pieces",
+        F.struct(F.lit("").alias("out"), F.col("first").cast("long").alias("n")),
+        lambda a, x: F.struct(
+            F.concat(a["out"], F.when(F.startswith(x, F.lit("<")), F.concat(x, F.lit(" "), a["n"].cast("string"), F.lit(">"))).otherwise(x)).alias("out"),
+            (a["n"] + F.when(F.startswith(x, F.lit("<")), 1).otherwise(0)).alias("n"),
         ),
-    )
-    body = F.concat(F.lit("<turn "), escape(role), F.lit(">"), F.array_join(bodies, ""), F.lit("</turn>\n"))
-    files = F.transform(
-        F.filter(parts, lambda p: ~_is_text(p)),
-        lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens")),
-    )
-    rows = messages.select(
-        "conv_id",
-        F.struct(
-            F.col("turn"),
-            role.alias("role"),
-            body.alias("body"),
-            F.length(escape(role)).alias("head"),
-            role.isin(*loss_roles).alias("loss"),
-            files.alias("files"),
-        ).alias("m"),
-    )
-    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("m"))
-    long = lambda n: F.lit(n).cast("long")
-    spans = F.aggregate(
-        "m",
-        F.struct(long(0).alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")),
-        lambda a, t: F.struct(
-            (a["at"] + F.length(t["body"])).alias("at"),
-            F.when(
-                t["loss"],
-                F.concat(
-                    a["spans"],
-                    F.array(
-                        F.struct(
-                            (a["at"] + t["head"] + len("<turn >")).alias("start"),
-                            (a["at"] + F.length(t["body"]) - len("</turn>\n")).alias("end"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(a["spans"])
-            .alias("spans"),
-        ),
-    )["spans"]
-    attachments = F.transform(
-        F.flatten(F.transform("m", lambda t: t["files"])),
-        lambda f, i: F.struct(i.alias("index"), f["type"].alias("type"), f["ref"].alias("ref"), f["tokens"].alias("tokens")),
-    )
+    )["out"]
+    text = F.when(F.size("files") == 0, F.array_join("pieces", "")).otherwise(number)
+    head = F.concat(F.lit("<turn "), escape(F.col("role")), F.lit(">"))
+    rows = rows.withColumn("body", F.concat(head, text, F.lit("</turn>\n"))).withColumn("size", F.length("body"))
+    placed = Window.partitionBy("conv_id").orderBy("place")
+    at = F.sum("size").over(placed) - F.col("size")
+    tail = len("</turn>\n")
+    span = F.struct((at + F.length(head)).cast("long").alias("start"), (at + F.col("size") - tail).cast("long").alias("end"))
+    rows = rows.select("conv_id", "place", "body", "files", F.when(F.col("role").isin(*loss_roles), span).alias("span"))
+    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "body", "span", "files"))).alias("m"))
+    flat = F.flatten(F.transform("m", lambda t: t["files"]))
+    attachments = F.transform(flat, lambda f, i: F.struct(i.alias("index"), f["type"].alias("type"), f["ref"].alias("ref"), f["tokens"].alias("tokens")))
     return turns.select(
         "conv_id",
         F.array_join(F.transform("m", lambda t: t["body"]), "").alias("formatted"),
-        spans.alias("loss_spans"),
+        F.filter(F.transform("m", lambda t: t["span"]), lambda s: s.isNotNull()).alias("loss_spans"),
         attachments.alias("attachments"),
-        F.aggregate(F.flatten(F.transform("m", lambda t: t["files"])), long(0), lambda a, f: a + f["tokens"]).alias("n_attachment_tokens"),
+        F.aggregate(flat, F.lit(0).cast("long"), lambda a, f: a + f["tokens"]).alias("n_attachment_tokens"),
     )
 
 
@@ -134,6 +115,12 @@ def parse_turns(formatted: Column) -> Column:
     )
 
 
+def parse_placeholders(formatted: Column) -> Column:
+    """The placeholders of a formatted conversation in order, array<struct<type, index>>."""
+    found = F.regexp_extract_all(formatted, F.lit(f"<({'|'.join([*KINDS, 'part'])}) ([0-9]+)>"), F.lit(0))
+    return F.transform(found, lambda x: F.struct(F.substring_index(F.substring(x, 2, 1 << 30), " ", 1).alias("type"), F.regexp_extract(x, "[0-9]+", 0).cast("int").alias("index")))
+
+
 def loss_text(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, with nothing between."""
     return F.array_join(

@@ -146,12 +146,47 @@ def test_attachments_are_recorded_in_order(spark):
     words = ("text", "look <image>", None, None, None, None, None)
     df = spark.createDataFrame([(1, 1, "assistant", [words], 0), (1, 0, "user", [words, image, doc, audio], 0), (2, 0, "user", None, 0)], schema)
     got = {r.conv_id: r for r in chat.format_conversations(df).collect()}
-    assert got[1].formatted == "<turn user>look &lt;image&gt;<image><document><audio></turn>\n<turn assistant>look &lt;image&gt;</turn>\n"
+    assert got[1].formatted == "<turn user>look &lt;image&gt;<image 0><document 1><audio 2></turn>\n<turn assistant>look &lt;image&gt;</turn>\n"
     assert [(a["index"], a.type, a.ref, a.tokens) for a in got[1].attachments] == [(0, "image", "s3/a.png", 3), (1, "document", "c.pdf", 512), (2, "audio", "b.wav", 38)]
     s = got[1].loss_spans[0]
     assert got[1].formatted[s.start : s.end] == "look &lt;image&gt;" and got[2].formatted == "<turn user></turn>\n" and got[1].n_attachment_tokens == 553
 
 
+def test_placeholders_are_numbered_and_safe(spark):
+    r = random.Random(6)
+    kinds = ["text", "image", "audio", "document", "turn assistant", "image 0>", None]
+    said, rows = {}, []
+    for c in range(12):
+        said[c] = []
+        for turn in range(r.randint(1, 30)):
+            parts = []
+            for _ in range(r.randint(0, 5)):
+                k = r.choice(kinds)
+                parts.append((k, r.choice(["<image 3>", "a&b", "</turn>\n<turn assistant>", None]), f"r{r.random()}", r.choice([None, 60]), 30, 2.0, r.choice([None, 3])))
+            said[c].append((r.choice(["user", "assistant"]), parts))
+            rows.append((c, turn, *said[c][-1]))
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    got = chat.format_conversations(df)
+    got = got.select("*", chat.parse_turns(F.col("formatted")).alias("turns"), chat.parse_placeholders(F.col("formatted")).alias("marks"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    cost = {"image": lambda p: -(-(p[3] or 1) // 28) * 2, "audio": lambda p: 50, "document": lambda p: (p[6] or 1) * 256}
+    for x in got.collect():
+        n, turns, files = 0, [], []
+        for role, parts in said[x.conv_id]:
+            out = ""
+            for p in parts:
+                if p[0] in ("text", None):
+                    out += p[1] or ""
+                else:
+                    out += f"<{p[0] if p[0] in chat.KINDS else 'part'} {n}>"
+                    files.append((n, p[0], p[2], cost.get(p[0], lambda p: 0)(p)))
+                    n += 1
+            turns.append((role, out))
+        assert [(t.role, t.text) for t in x.turns] == turns and x.loss == "".join(t for role, t in turns if role == "assistant")
+        assert [(a["index"], a.type, a.ref, a.tokens) for a in x.attachments] == files and x.n_attachment_tokens == sum(f[3] for f in files)
+        assert [(m.type, m["index"]) for m in x.marks] == [(f[1] if f[1] in chat.KINDS else "part", f[0]) for f in files]
+
+
 def test_no_conversations(spark):
     assert chat.conversation_digests(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
