@@ -4,7 +4,7 @@ Words are labelled with languages: features of a word (affixes, character n-gram
 language) give a potential for each language, learned transitions tie neighbouring words, and forward-backward gives each
 word's probabilities. A document's language is the one with the most probability over its words.
 
-Training runs on the driver over a bounded sample of labelled documents; words of different documents are strung together,
+Training runs on the driver over a bounded sample of labelled documents, ``SAMPLE`` of each language, read whole; stretches of different documents are strung together,
 so transitions between languages are seen too. The model (a weight table over hashed features) is small and sent along.
 """
 
@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-#: Documents that training takes of each language at most, and stretches of each, spread evenly over the text.
-SAMPLE, STRETCHES = 250, 12
+#: Documents that training takes of each language at most, whole, and languages at most.
+SAMPLE, MOST_LANGUAGES = 80, 1000
 BUCKETS = 1 << 16
 #: Words in a chain: a text is labelled in consecutive chains of this many words, all of them.
 CHAIN = 128
@@ -85,7 +85,7 @@ class Crf:
 
     def marginals(self, potentials: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Probabilities (chains, places, languages) by forward-backward over chains that are padded to one length."""
-        return forward_backward(potentials, lengths, self.moves)[0]
+        return forward_backward(potentials, lengths, self.moves, False)[0]
 
     def __getstate__(self) -> dict:
         return {"langs": self.langs, "lexicons": self.lexicons, "weights": self.weights, "moves": self.moves}
@@ -95,8 +95,8 @@ class Crf:
         self.weights, self.moves = state["weights"], state["moves"]
 
 
-def forward_backward(potentials: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of every place and the expected number of moves; places beyond a chain's length are zero."""
+def forward_backward(potentials: np.ndarray, lengths: np.ndarray, moves: np.ndarray, counted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of every place and, if counted, the expected number of moves; places beyond a chain's length are zero."""
     n, places, k = potentials.shape
     e = np.exp(potentials - potentials.max(axis=2, keepdims=True)).astype(np.float64)
     t = np.exp(moves)
@@ -113,7 +113,7 @@ def forward_backward(potentials: np.ndarray, lengths: np.ndarray, moves: np.ndar
     m /= m.sum(axis=2, keepdims=True)
     m *= inside.T[:, :, None]
     expected = np.zeros((k, k))
-    for i in range(1, places):
+    for i in range(1, places if counted else 1):
         live = inside[:, i]
         if live.any():
             x = alpha[i - 1][live][:, :, None] * t[None] * (e[live, i] * beta[i][live])[:, None, :]
@@ -140,9 +140,7 @@ def train(samples: list[tuple[str, str]]) -> Crf:
     # Stretches of one language, dealt into chains at random.
     pieces = []
     for w, lang in pairs:
-        starts = range(0, len(w), SWITCH)
-        for at in starts if len(starts) <= STRETCHES else [starts[i * len(starts) // STRETCHES] for i in range(STRETCHES)]:
-            pieces.append((w[at : at + SWITCH], langs.index(lang)))
+        pieces += [(w[at : at + SWITCH], langs.index(lang)) for at in range(0, len(w), SWITCH)]
     known: dict[str, np.ndarray] = {}
     for w, _ in pieces:
         for x in w:
@@ -211,28 +209,35 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Crf:
-    """Train on at most ``sample`` documents of each language, chosen by a hash of the id among those not held out.
+    """Train on at most ``sample`` documents of each language, chosen by a hash of the id among those not held out; of rows with one id and language, the least text counts.
 
     Languages are counted first, and only ids whose hash is so small that some eight times the sample remain are ranked, so
-    a frequent language does not meet in one task. Texts are read for the chosen ids alone.
+    a frequent language does not meet in one task. Texts are read for the chosen ids alone, so ``sample`` texts of a language come to the driver.
+    More than ``MOST_LANGUAGES`` languages raise ValueError. Without usable rows, as in an empty table, nothing is learned.
     """
-    spark = documents.sparkSession
-    usable = documents.where(F.col("lang").isNotNull() & ~held_out())
+    usable = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("size")).limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
+    if not sizes:
+        return train([])
+    size = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], float(r["size"]))]), F.col("lang"))
     drawn = usable.select("doc_id", "lang", F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "doc_id"), 1).alias("draw"))
-    sizes = F.broadcast(usable.groupBy("lang").agg(F.count("*").alias("size")))  # one row a language
-    near = drawn.join(sizes, "lang").where(F.col("draw") / float(1 << 63) * F.col("size") <= 8.0 * sample)
+    # Rows of one id have one draw; each language gets the sample's least draws.
+    near = drawn.where(F.col("draw") / float(1 << 63) * size <= 8.0 * sample).distinct()
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
-    chosen = near.withColumn("place", place).where(F.col("place") <= sample)
-    ids = [r[0] for r in chosen.select("doc_id").distinct().collect()]
+    ids = sorted({r["doc_id"] for r in near.withColumn("place", place).where(F.col("place") <= sample).collect()})
     if not ids:
         return train([])
-    spark_rows = usable.where(F.col("doc_id").isin(ids)).select("doc_id", "text", "lang").collect()
-    rows = sorted({(r["doc_id"], r["text"] or "", r["lang"]) for r in spark_rows})
-    return train([(text, lang) for _, text, lang in rows])
+    texts = usable.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    return train(sorted((r["text"], r["lang"]) for r in texts.collect()))
 
 
 def labelled(documents: DataFrame, crf: Crf, lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """The documents with two columns more, predicted language and score; all others are carried as they are."""
+    """The documents with two columns more, predicted language and score; all others are carried as they are, whatever their names.
+
+    The two must be new names. Rows may repeat, or lack a doc_id; every text is labelled whole, in chains, so a long one takes memory in proportion.
+    """
     model = documents.sparkSession.sparkContext.broadcast(crf)
     names = [c for c in documents.columns if c != "text"]
     schema = ", ".join(["text string", *[f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names], f"`{lang}` string, `{score}` double"])
@@ -252,8 +257,9 @@ def labelled(documents: DataFrame, crf: Crf, lang: str = "lang_pred", score: str
 def identify(documents: DataFrame) -> DataFrame:
     """Predicted language of every whole text, one row per input row.
 
-    ``und`` with score 0 where a text is null or has no letter, or where nothing was learned. Learning looks at text and
-    lang of documents that are not held out; a prediction looks at the text alone.
+    ``und`` with score 0 where a text is null, empty or has no letter, or where nothing was learned. Learning looks at text and
+    lang of documents that are not held out; a prediction looks at the text alone, so repeated rows get the same. A null doc_id is held out.
+    Columns other than doc_id, text and lang are not read, whatever their names; an empty table gives no rows.
     """
     crf = fit(documents.select("doc_id", "text", "lang"))
     out = labelled(documents.select("doc_id", "text"), crf)
