@@ -11,6 +11,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import tiktoken
@@ -24,7 +25,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_CHARS = 6
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{10,}")
+#: Runs of letters in the case of words tell nothing under this length, as a fourth of all words of 8 to 15 letters has a low ratio too.
+LETTERS = 16
+WORDLIKE = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[-_/=+]+(?:[A-Z]?[a-z]+|[A-Z]+))*[-_/=+]*\Z")
 #: Digests that stand in texts for other reasons than secrecy: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512 in hex.
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z", re.IGNORECASE)
 #: Identifiers of a known form: UUIDs, dates and times, numbers with separators.
@@ -41,7 +45,9 @@ def vocabulary(path: str) -> bytes:
         return f.read()
 
 
+@lru_cache(maxsize=2)
 def encoding(ranks: bytes, pattern: str) -> tiktoken.Encoding:
+    """The encoder of a vocabulary; a worker keeps it from task to task."""
     table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
@@ -62,7 +68,7 @@ def token_spans(text: str, encode: Callable[[str], list[int]], taken: list[tuple
     out = []
     for m in CANDIDATE.finditer(text):
         run = m[0]
-        if DIGEST.match(run) or IDENTIFIER.match(run):
+        if len(run) < LETTERS and WORDLIKE.match(run) or DIGEST.match(run) or IDENTIFIER.match(run):
             continue
         s, e = m.span()
         if any(a < e and s < b for a, b, _ in taken):
@@ -134,8 +140,8 @@ def _redacted(part: pa.RecordBatch, encode) -> pa.RecordBatch:
 def scan_documents(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """Spans of every text, one row per input row, also for repeated ones; a null text counts as empty.
 
-    ``path`` names the rank file, ``pattern`` is its word pattern. Only doc_id and text are read. No shuffle; memory is
-    bounded by a batch of texts.
+    ``path`` names the rank file, ``pattern`` is its word pattern. Only doc_id and text are read, so other columns may have any names; a
+    null doc_id is carried along; an empty table gives no rows. No shuffle; a text is scanned in one piece, so memory is bounded by a batch of texts, however long.
     """
     ranks = documents.sparkSession.sparkContext.broadcast(vocabulary(path))
     return documents.select("doc_id", "text").mapInArrow(_batches(ranks, pattern, _report), SCHEMA)
@@ -144,7 +150,8 @@ def scan_documents(documents: DataFrame, path: str, pattern: str) -> DataFrame:
 def redact_documents(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """The documents with every found secret replaced by ``<secret>`` and ``n_chars`` brought up to date.
 
-    Every row stays; a null text stays null; texts without secrets stay byte for byte; all other columns are carried as they are.
+    Every row stays, repeated ones too; a null text stays null; texts without secrets stay byte for byte; all other columns are carried as they are, whatever
+    their names; an empty table gives no rows. A table without ``n_chars`` gets none.
     """
     spark = documents.sparkSession
     ranks = spark.sparkContext.broadcast(vocabulary(path))

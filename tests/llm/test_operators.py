@@ -107,6 +107,64 @@ def test_token_efficiency_of_letters_and_joined_runs():
         assert secrets.find_secrets(text, encode)[1] == []
 
 
+def test_planted_keys_are_found_among_the_tables_words(spark):
+    """Recall on random keys planted in real texts, and false alarms among the words of the same texts."""
+    encode = secrets.encoding(secrets.vocabulary(RANKS), PATTERN).encode_ordinary
+    r = random.Random(12)
+    letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {"letters": (letters, 20), "mixed": (letters + digits, 12), "base64": (letters + digits + "+/", 24), "url": (letters + digits + "-_", 32), "lower": (letters[:26] + digits, 16)}
+    texts = [x.text for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    found, planted, alarms, words = collections.Counter(), collections.Counter(), 0, 0
+    for i, text in enumerate(texts):
+        alarms += len(secrets.find_secrets(text, encode)[1])
+        words += len(text.split())
+        kind = list(kinds)[i % len(kinds)]
+        alphabet, n = kinds[kind]
+        key = "".join(r.choice(alphabet) for _ in range(n))
+        w = text.split(" ")
+        at = r.randrange(len(w) + 1)
+        told = " ".join([*w[:at], key, *w[at:]])
+        planted[kind] += 1
+        found[kind] += any(key in told[s:e] for s, e, _ in sum(secrets.find_secrets(told, encode), []))
+    assert all(found[k] >= 0.95 * planted[k] for k in kinds)
+    assert alarms <= words / 10_000
+
+
+def plain_added(text, encode):
+    """Added spans, from all runs of key characters, by what the ratio says."""
+    base = [tuple(map(int, s.split(":")[1:])) for s in plain_spans(text)]
+    out, at = [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and (text[end].isascii() and text[end].isalnum() or text[end] in "+/_=-"):
+            end += 1
+        run = text[at:end]
+        parts = [p for p in re.split("[-_/=+]", run) if p]
+        known = re.fullmatch("[0-9a-fA-F]+", run) and len(run) in (32, 40, 56, 64, 96, 128) or not any(c.isalpha() for c in run)
+        known = known or re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", run)
+        worded = bool(parts) and run[0].isalpha() and all(p.isalpha() and (p[1:].islower() or p.isupper() or len(p) == 1) for p in parts)
+        if len(run) >= 10 and not known and not (len(run) < 16 and worded) and not any(a < end and at < b for a, b in base):
+            joined = re.fullmatch("([A-Za-z]+[-_/=+])+[A-Za-z]+|([A-Za-z]{3,}[0-9]{0,4}[-_/])+[A-Za-z]*[0-9]{0,4}", run)
+            tested = re.findall("[A-Za-z]+", run) if joined else [run]
+            if sum(map(len, tested)) < 2.2 * sum(len(encode(p)) for p in tested):
+                out.append(f"token:{at}:{end}")
+        at = max(end, at + 1)
+    return out
+
+
+def test_added_spans_equal_the_plain_ones():
+    encode = secrets.encoding(secrets.vocabulary(RANKS), PATTERN).encode_ordinary
+    r = random.Random(8)
+    parts = ["kX9vQ2mZp7Lw", "the-", "word", "_", "/", "Key", "ABC", "zq", "7", "42", " ", ", ", "é", "deadbeef" * 2, "=", "token: ", "f00d"]
+    some = 0
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 12)))
+        got = [f"{k}:{s}:{e}" for s, e, k in secrets.find_secrets(text, encode)[1]]
+        assert got == plain_added(text, encode), text
+        some += len(got)
+    assert some > 1000
+
+
 def test_scan_and_redaction(odd, empty):
     out = secrets.scan_documents(odd, RANKS, PATTERN).collect()
     want = collections.Counter((d, sha(",".join(plain_spans(t or "")))) for d, t in rows_of(odd))
@@ -712,6 +770,17 @@ def test_languages_are_learned(spark, odd, empty):
     assert language.identify(odd).count() == odd.count() and language.identify(empty).count() == 0
 
 
+def test_training_takes_one_text_of_an_id(spark):
+    rows = [(3, mixed(i, "aa", 50), "aa") for i in range(200)] + [(i, mixed(i, lang, 50), lang) for i in range(40) for lang in [list(LANGS)[i % 3]]] + [(None, "x", "aa"), (2, None, "bb")]
+    seen = []
+    real, language.train = language.train, lambda samples: seen.extend(samples) or real(samples)
+    try:
+        language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 5)
+    finally:
+        language.train = real
+    assert len(seen) <= 15 and len(seen) == len(set(seen)) and {lang for _, lang in seen} == set(LANGS)
+
+
 def test_texts_without_spaces_are_labelled_whole():
     crf = language.train([(mixed(i, lang, 60), lang) for i in range(60) for lang in [list(LANGS)[i % 3]]])
     run = mixed(1, "aa", 12).replace(" ", "")[:40] + mixed(2, "bb", 400).replace(" ", "")
