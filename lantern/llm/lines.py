@@ -98,7 +98,7 @@ def _fields(several: DataFrame, said: DataFrame) -> DataFrame:
 def templates(documents: DataFrame, lines: DataFrame) -> DataFrame:
     """Recurring templates by the lines they hold: (content, more, first), first the place of the template's owner.
 
-    ``lines`` are the checkpointed lines of the documents. They are counted by their hashes. Only where different lines of two documents meet in a leaf do
+    ``lines`` are the checkpointed lines of the documents. They are counted by their hashes. Only where enough different lines of two documents meet in a leaf to share a template do
     their tokens matter, and only those lines are parsed again and shuffled with their text.
     """
     at = F.struct("doc_id", "th", "pos")
@@ -112,7 +112,7 @@ def templates(documents: DataFrame, lines: DataFrame) -> DataFrame:
     leaves = leaves.where(two).select("leaf", "kinds")
     met = checkpointed(contents.join(leaves, "leaf"))
     release(contents)
-    several = met.where((F.col("kinds") > 1) & ~F.col("short")).select("leaf", "kinds", "content", "more")
+    several = met.where((F.col("kinds") >= VARIANTS) & ~F.col("short")).select("leaf", "kinds", "content", "more")
     residue = F.pmod(F.col("leaf"), F.lit(RESIDUES)).cast("int").alias("residue")
     some = F.broadcast(several.select(residue).distinct())
     again = documents.select(F.explode(_parsed(F.col("text"))).alias("l")).select("l.content", "l.more", "l.masked", F.pmod(F.col("l.leaf"), F.lit(RESIDUES)).cast("int").alias("residue"))
