@@ -113,7 +113,9 @@ def pack(df: DataFrame, key: str, length: Column, sizes: Sequence[int] = SIZES,
         cols += [pa.array([f"{number}-{b}" for b in bins]), pa.array([final[b] for b in bins], pa.int64()), pa.array(at, pa.int64())]
         return pa.table(cols, names=["key", "piece", "start", "length", "bin", "size", "at"])
 
-    out = pieces.withColumn("number", spread).groupBy("number").applyInArrow(one, f"key {kind}, piece long, start long, length long, bin string, size long, at long")
+    # Items are few bytes and much work, so partitions go by groups, not by size.
+    partitions = max(min(groups, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), groups // 8)
+    out = pieces.withColumn("number", spread).repartition(partitions, "number").groupBy("number").applyInArrow(one, f"key {kind}, piece long, start long, length long, bin string, size long, at long")
     return out.withColumnRenamed("key", key)
 
 
