@@ -92,12 +92,13 @@ def explode_chunks(df: DataFrame, text: str, split: Callable[[str | None], list[
 
 
 def message_prefix(sender: Column, reply_to: Column) -> Column:
+    sender = F.coalesce(sender, F.lit(""))
     reply = F.when(F.coalesce(reply_to, F.lit("")) == "", "").otherwise(F.concat(F.lit(' (replying to: "'), reply_to, F.lit('")')))
     return F.concat(sender, reply, F.lit(": "))
 
 
 def format_message(sender: Column, reply_to: Column, text: Column) -> Column:
-    return F.concat(message_prefix(sender, reply_to), text)
+    return F.concat(message_prefix(sender, reply_to), F.coalesce(text, F.lit("")))
 
 
 def bin_ids(sizes: list[int], budget: int) -> list[int]:
@@ -114,19 +115,33 @@ def bin_ids(sizes: list[int], budget: int) -> list[int]:
 
 
 def pack_rows(df: DataFrame, keys: list[str], order: list[str], size: Column, budget: int, out: str = "bin") -> DataFrame:
-    """Bin of every row among the rows of its keys, in order; ``order`` must tell the rows of a key apart.
+    """Every row with its bin among the rows of its keys, in order.
 
-    The fold is sequential by nature, so it sees only places and sizes, a few bytes a row; texts are joined back by key
-    and place, and Spark splits that join where a key is skewed.
+    Null keys are keys like any other, null places come first, and a null size is 0. Rows that tie go by a hash of the whole row, and
+    rows that are equal in everything one after the other. The fold is sequential by nature, so it sees only places and sizes, a few bytes a row, of one
+    key in one task; whole rows are joined back by their hash and number, and Spark splits that join where a key is skewed.
     """
-    places = df.select(*keys, *order, size.cast("int").alias("__n"))
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.withColumn("__row", whole)
+    rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy("__row", *keys, *order).orderBy(F.lit(0))))
+    places = df.select(*keys, *order, whole.alias("__row"), F.coalesce(size, F.lit(0)).cast("int").alias("__n"))
+    by = [*order, "__row"]
 
     def fold(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table, [(c, "ascending") for c in order]))
-        return table.drop_columns("__n").append_column(out, pa.array(bin_ids(table["__n"].to_pylist(), budget), pa.int32()))
-
-    schema = places.drop("__n").withColumn(out, F.lit(0)).schema
-    return df.join(places.groupBy(*keys).applyInArrow(fold, schema), [*keys, *order])
+        table = table.take(pc.sort_indices(table, [(c, "ascending") for c in by], null_placement="at_start"))
+        ids, copies = list(zip(*[table[c].to_pylist() for c in by], strict=True)), []
+        for i, x in enumerate(ids):
+            copies.append(copies[-1] + 1 if i and ids[i - 1] == x else 1)
+        bins = bin_ids(table["__n"].to_pylist(), budget)
+        return table.drop_columns("__n").append_column("__copy", pa.array(copies, pa.int32())).append_column(out, pa.array(bins, pa.int32()))
+
+    schema = places.drop("__n").withColumns({"__copy": F.lit(0), out: F.lit(0)}).schema
+    names = {c: f"__at_{i}" for i, c in enumerate([*keys, *order])}
+    found = places.groupBy(*keys).applyInArrow(fold, schema).withColumnsRenamed(names | {"__row": "__of", "__copy": "__number"})
+    same = (F.col("__row") == F.col("__of")) & (F.col("__copy") == F.col("__number"))
+    for c, at in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(at))
+    return rows.join(found, same).drop("__row", "__copy", "__of", "__number", *names.values())
 
 
 def message_chunks(messages: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -11,54 +11,43 @@ from pyspark.sql import functions as F
 from lantern.operators import chunking, segment
 
 
-def model_groups(vectors, t, context=3):
-    """The topic machine as a list of groups, written from its rules."""
-    groups, current, recent, pending, first = [], [], [], [], None
-    cos = segment._cosine
-    for i, v in enumerate(vectors):
-        if not current and not pending:
-            current.append(i)
-            recent = [v] if v is not None else []
-            continue
-        if pending:
-            pending.append(i)
-            if v is None:
-                continue
-            c = np.mean(recent, axis=0)
-            if cos(v, first) >= t and cos(v, c) < t:
-                groups.append(current)
-                current, recent, pending = pending, [first, v], []
-            else:
-                current += pending[:-1]
-                if cos(v, c) < t:
-                    pending, first = [i], v
-                else:
-                    current.append(i)
-                    recent, pending = [*recent, v][-context:], []
-            continue
-        if v is None:
-            current.append(i)
-        elif not recent:
-            current.append(i)
-            recent = [v]
-        elif cos(v, np.mean(recent, axis=0)) < t:
-            pending, first = [i], v
-        else:
-            current.append(i)
-            recent = [*recent, v][-context:]
-    groups.append(current + pending)
-    return [g for g in groups if g]
-
-
-@given(st.lists(st.one_of(st.none(), st.integers(0, 5)), min_size=1, max_size=40), st.sampled_from([0.1, 0.45, 0.8]))
+A, B, C = np.eye(3)
+
+
+def groups(vectors, **more):
+    return segment.topic_groups(vectors, 0.45, **more)
+
+
+def test_topics_by_hand():
+    assert groups([A]) == [0] and groups([]) == []
+    assert groups([A, A, B]) == [0, 0, 0]  # the end confirms nothing
+    assert groups([A, A, B, B, B]) == [0, 0, 1, 1, 1]
+    assert groups([A, A, B, A, A]) == [0] * 5  # a remark aside
+    assert groups([A, A, B, C, C]) == [0, 0, 0, 1, 1]  # the second is unlike both, so it is the next candidate
+    assert groups([A, A, B, None, None, B]) == [0, 0, 1, 1, 1, 1]  # short messages wait with the candidate
+    assert groups([A, A, B, None, A]) == [0] * 5
+    assert groups([None, None, A, A]) == [0] * 4
+    assert groups([A, B, B, C, C, A, A]) == [0, 1, 1, 2, 2, 3, 3]
+    assert groups([A, A, A, A, B, B], context=1) == [0, 0, 0, 0, 1, 1]
+
+
+@given(st.lists(st.one_of(st.none(), st.integers(0, 5)), max_size=40), st.sampled_from([0.1, 0.45, 0.8]))
 @settings(max_examples=200, deadline=None)
-def test_topics_equal_the_model(kinds, t):
+def test_topics_keep_their_promises(kinds, t):
     r = np.random.default_rng(0)
     base = r.normal(size=(6, 8))
     vectors = [None if k is None else base[k] + 0.3 * r.normal(size=8) for k in kinds]
     got = segment.topic_groups(vectors, t)
-    parts = [[i for i, g in enumerate(got) if g == k] for k in sorted(set(got))]
-    assert parts == model_groups(vectors, t)
+    # Numbers rise by one from 0; a topic opens with two judged messages that are like each other and unlike the mean before.
+    assert got[:1] in ([], [0]) and all(b - a in (0, 1) for a, b in zip(got, got[1:], strict=False))
+    for g in range(1, max(got, default=0) + 1):
+        first, second = [v for v, k in zip(vectors, got, strict=True) if k == g and v is not None][:2]
+        assert vectors[got.index(g)] is first and segment._cosine(first, second) >= t
+        before = [v for v, k in zip(vectors, got, strict=True) if k == g - 1 and v is not None]
+        assert before and min(segment._cosine(first, np.mean(before[i : i + 3], axis=0)) for i in range(len(before))) < t
+    # Scale and the threshold's ends.
+    assert got == segment.topic_groups([None if v is None else 7 * v for v in vectors], t)
+    assert set(segment.topic_groups(vectors, -1.1)) <= {0}
 
 
 def test_topics_in_spark(spark):
@@ -89,25 +78,35 @@ def test_chunks_stay_in_their_budget(parts, size):
     assert set(re.findall(r"\w+", text)) == set(re.findall(r"\w+", " ".join(chunks)))
 
 
-def model_bins(sizes, budget):
-    out, b, total, open_ = [], -1, 0, False
-    for n in sizes:
-        if open_ and n <= budget and total + n <= budget:
-            total += n
-        else:
-            b, total = b + 1, n
-        open_ = n <= budget
-        out.append(b)
-    return out
+def check_bins(sizes, bins, budget):
+    """Bins run on from 0, hold no more than the budget unless they hold one item, and none could have taken the next bin's first item."""
+    parts = [[n for n, b in zip(sizes, bins, strict=True) if b == k] for k in range(max(bins) + 1)]
+    assert bins == sorted(bins) and all(parts)
+    assert all(sum(p) <= budget or len(p) == 1 for p in parts)
+    assert all(sum(p) > budget or sum(p) + q[0] > budget for p, q in zip(parts, parts[1:], strict=False))
 
 
-def test_packing_equals_the_model(spark):
+def test_packing_by_hand_and_by_its_promises(spark):
+    assert chunking.bin_ids([100, 150, 1, 251, 10, 240, 1], 250) == [0, 0, 1, 2, 3, 3, 4]
     r = random.Random(1)
     rows = [(k, i, r.choice([1, 50, 100, 249, 250, 251, 400])) for k in range(20) for i in range(r.randint(1, 30))]
     df = spark.createDataFrame(rows, "k int, i int, n int")
     got = {(x.k, x.i): x.bin for x in chunking.pack_rows(df, ["k"], ["i"], F.col("n"), 250).collect()}
     for k in range(20):
-        assert [got[k, i] for kk, i, _ in rows if kk == k] == model_bins([n for kk, _, n in rows if kk == k], 250)
+        check_bins([n for kk, _, n in rows if kk == k], [got[k, i] for kk, i, _ in rows if kk == k], 250)
+
+
+def test_packing_keeps_every_row_once(spark):
+    rows = [(1, 0, "a", 200), (1, 0, "b", 100), (1, 0, "b", 100), (1, None, "c", 10), (None, 0, "d", 251), (None, None, "e", None), (2, 5, None, 7)]
+    df = spark.createDataFrame(rows, "k int, i int, s string, n int")
+    got = chunking.pack_rows(df, ["k"], ["i"], F.col("n"), 250)
+    assert got.columns == ["k", "i", "s", "n", "bin"]
+    assert sorted(map(str, (tuple(x)[:4] for x in got.collect()))) == sorted(map(str, rows))
+    one = got.where("k = 1").groupBy("bin").agg(F.sum("n")).collect()
+    assert all(total <= 250 for _, total in one) and len(one) in (2, 3)
+    said = spark.createDataFrame([(1, 0, None, None, "x"), (1, 0, "B", None, None), (None, 1, "A", "", "y")], "k int, i int, sender string, reply_to string, text string")
+    chunks = {r.chunk for r in chunking.message_chunks(said, ["k"], ["i"]).collect()}
+    assert chunks in ({"A: y", ": x\nB: "}, {"A: y", "B: \n: x"})
 
 
 def test_message_chunks(spark):
