@@ -158,8 +158,9 @@ def cut_quote(c: Column) -> Column:
 
 
 def decode_base64url(c: Column) -> Column:
+    """Text of base64url data; null where it is no such data, so a broken body doesn't end a job, and bytes that are no UTF-8 are marked."""
     padded = F.rpad(F.translate(c, "-_", "+/"), (F.ceil(F.length(c) / 4) * 4).cast("int"), "=")
-    return F.decode(F.unbase64(padded), "utf-8")
+    return F.make_valid_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
 
 
 def encode_base64url(c: Column) -> Column:

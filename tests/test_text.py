@@ -112,7 +112,7 @@ def test_trees():
     para = lambda s: {"paragraph": {"elements": [run(s)]}}
     doc = {"tabs": [{"tabProperties": {"tabId": "t1", "title": "One"}, "documentTab": {"body": {"content": [para("a\n"), {"table": {"tableRows": [{"tableCells": [{"content": [para("c")]}]}]}}]}},
                      "childTabs": [{"tabProperties": {"tabId": "t2"}, "documentTab": {"body": {"content": [{"tableOfContents": {"content": [para("toc")]}}]}}}]}, {}]}
-    assert markup.document_sections(doc) == [("t1", "One", "", "a\nc"), ("t2", "Untitled tab", "", "toc")]
+    assert markup.document_sections(doc) == [("t1", "One", "Document tab", "a\nc"), ("t2", "Untitled tab", "Document tab", "toc")]
     shape = lambda s, y, kind="": {"transform": {"translateY": y}, "shape": {"placeholder": {"type": kind}, "text": {"textElements": [run(s)]}}}
     table = {"table": {"tableRows": [{"tableCells": [{"text": {"textElements": [run("x")]}}, {"text": {}}, {"text": {"textElements": [run("y")]}}]}]}, "transform": {"translateY": 1}}
     slides = {"slides": [{"objectId": "s1", "pageElements": [shape("low", 9), shape("T", 5, "TITLE"), {"elementGroup": {"children": [shape("in", 3)]}}, table]}, {"pageElements": []}]}
@@ -127,6 +127,9 @@ def test_sheets_and_limits():
     assert markup.extract_file("text/plain", b" x ", markup.MOST_BYTES) == "x"
     with pytest.raises(markup.Unsupported):
         markup.extract_file("image/png", b"x", 1)
+    assert markup.extract_file("application/vnd.google-apps.document", b"a  b", 1) == "a b"
+    with pytest.raises(markup.Unsupported):
+        markup.sections_of("document", None, "", markup.MOST_BYTES + 1)
 
 
 def test_office_files():
@@ -153,3 +156,4 @@ def test_office_files():
         xl__worksheets__sheet1_dot_xml=f"<worksheet {s}><sheetData>{cells}</sheetData></worksheet>",
     )
     assert markup.xlsx_text(xlsx) == "Sheet: S\nhead: 5\nColumn 2: 6"
+    assert markup.extract_file("application/vnd.google-apps.spreadsheet", xlsx, len(xlsx)) == "Sheet: S\nhead: 5\nColumn 2: 6"
