@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lantern.functions.text import apple_timestamp, contact_keys, contact_name, message_date, not_blank, shorten
+from lantern.functions.text import apple_timestamp, chat_label, contact_keys, contact_name, message_date, not_blank, shorten
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,7 +47,20 @@ def chats(chat: DataFrame, chat_handle: DataFrame, handle: DataFrame, chat_messa
     members = chat_handle.join(handle, chat_handle["handle_id"] == handle["ROWID"], "left").select("chat_id", F.col("id").alias("handle"))
     people = members.where(F.coalesce("handle", F.lit("")) != "").groupBy("chat_id").agg(F.array_sort(F.collect_list("handle")).alias("participants"))
     none = F.array().cast("array<string>")
-    return live.join(people, live["chat_row"] == people["chat_id"], "left").drop("chat_id").withColumn("participants", F.coalesce("participants", none))
+    out = live.join(people, live["chat_row"] == people["chat_id"], "left").drop("chat_id").withColumn("participants", F.coalesce("participants", none))
+    if {"display_name", "chat_identifier"} <= set(out.columns):
+        out = out.withColumn("label", chat_label(F.col("display_name"), F.col("participants"), F.col("chat_identifier"), F.col("chat_row")))
+    return out
+
+
+def labelled(chats: DataFrame, part: str) -> DataFrame:
+    """Chats whose label contains a text, whatever the case."""
+    return chats.where(F.contains(F.lower("label"), F.lower(F.lit(part))))
+
+
+def chat_kind(participants: Column) -> Column:
+    """``group`` for several participants, else ``individual``."""
+    return F.when(F.size(participants) > 1, "group").otherwise("individual")
 
 
 def single_member(links: DataFrame, chat: str = "chat_id") -> DataFrame:
@@ -78,6 +95,29 @@ def with_replies(limited: DataFrame, guid: str = "guid", parent: str = "thread_o
 # Contacts
 
 
+def contact_entries(sources: Sequence[tuple[DataFrame, DataFrame, DataFrame]]) -> DataFrame:
+    """Entries of several contact stores (phone, email, record) in order of priority; owners without a record give none.
+
+    phone has (ZOWNER, ZFULLNUMBER), email (ZOWNER, ZADDRESS), record (Z_PK, ZNAME, ZFIRSTNAME, ZLASTNAME, ZORGANIZATION). A store whose tables lack
+    a column cannot be read and is passed over.
+    """
+    found = []
+    for i, (phone, email, record) in enumerate(sources):
+        try:
+            names = record.select(F.col("Z_PK").alias("owner"), *[F.col(c).alias(n) for c, n in _NAMES.items()])
+            for kind, rows, column in ((0, phone, "ZFULLNUMBER"), (1, email, "ZADDRESS")):
+                rows = rows.select(F.col("ZOWNER").alias("owner"), F.col(column).alias("handle"))
+                found.append(rows.join(names, "owner").select(F.struct(F.lit(i).alias("source"), F.lit(kind).alias("kind"), "owner", "handle").alias("priority"), "handle", *_NAMES.values()))
+        except AnalysisException:
+            continue
+    if not found:
+        raise ValueError("no contact store can be read")
+    return reduce(DataFrame.unionByName, found)
+
+
+_NAMES = {"ZNAME": "full_name", "ZFIRSTNAME": "first_name", "ZLASTNAME": "last_name", "ZORGANIZATION": "organization"}
+
+
 def contacts(entries: DataFrame) -> DataFrame:
     """(key, name) from rows (priority, handle, full_name, first_name, last_name, organization): the first name for each key.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,23 +11,26 @@ from pyspark.sql import functions as F
 from lantern.functions.vectors import embed_text, squared_distance
 
 NEIGHBOURS = 10
-#: Queries of one call; they are sent to every task, so their number is bounded.
+#: Queries of one scan; they are sent to every task, so their number is bounded.
 MOST_QUERIES = 1024
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, id_col: str = "chunk_id", vector: str = "embedding") -> DataFrame:
     """The k nearest rows of each query (variant_idx, query), squared Euclidean distance, ties by id.
 
-    The queries are a stated, bounded set and go to every task; each task keeps k rows per query before anything is
+    The queries are a stated set and go to every task, ``MOST_QUERIES`` or so in one scan, more in several; each task keeps k rows per query before anything is
     shuffled, so a scan of all vectors moves k rows per task and query.
     """
-    n = queries.limit(MOST_QUERIES + 1).count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in one call")
-    q = F.broadcast(queries.select("variant_idx", F.col("query").alias("__q")))
-    scored = vectors.join(q).withColumn("distance", squared_distance(F.col(vector), F.col("__q"))).drop("__q", vector)
+    scans = max(1, -(-queries.count() // MOST_QUERIES))
+    q = queries.select("variant_idx", F.col("query").alias("__q"))
+    scan = F.pmod(F.xxhash64("variant_idx", "__q"), F.lit(scans))
     place = F.row_number().over(Window.partitionBy("variant_idx").orderBy("distance", id_col))
-    return scored.withColumn("rank", place).where(F.col("rank") <= k)
+
+    def nearest(part: DataFrame) -> DataFrame:
+        scored = vectors.join(F.broadcast(part)).withColumn("distance", squared_distance(F.col(vector), F.col("__q"))).drop("__q", vector)
+        return scored.withColumn("rank", place).where(F.col("rank") <= k)
+
+    return reduce(DataFrame.unionByName, [nearest(q if scans == 1 else q.where(scan == i)) for i in range(scans)])
 
 
 def first_seen(matches: DataFrame, id_col: str = "chunk_id") -> DataFrame:

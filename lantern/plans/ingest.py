@@ -15,12 +15,18 @@ from lantern.operators.segment import PAUSE_MINUTES, THRESHOLD, renumber, sessio
 from lantern.sources.store import VersionedTable, add_chunks, get_json, put_json
 
 
+#: Rejects that a report lists; its table has all.
+SHOWN = 1000
+
+
 @dataclass
 class Report:
     """What an ingestion wrote and left out."""
 
     chunks: int
     rejected: list[tuple[str, str]]
+    #: All rejects (name, reason), of which ``rejected`` lists the first ones for display.
+    rejects: DataFrame | None = None
 
 
 def message_groups(rows: DataFrame, pause_minutes: int = PAUSE_MINUTES, threshold: float = THRESHOLD) -> DataFrame:
@@ -89,8 +95,10 @@ def ingest_calendar(store: VersionedTable, events: DataFrame) -> Report:
 def ingest_files(store: VersionedTable, listed: DataFrame, limit: int | None = None, shared: bool = False) -> Report:
     """Chunks of all readable files; the others are reported with their reason."""
     read = files.sections(files.listing(listed, limit, shared))
-    failed = [tuple(r) for r in files.rejects(read).limit(10_000).collect()]
-    return write(store, files.chunks(read), failed)
+    failed = files.rejects(read)
+    report = write(store, files.chunks(read), [tuple(r) for r in failed.limit(SHOWN).collect()])
+    report.rejects = failed
+    return report
 
 
 def ingest_mail(spark: SparkSession, store: VersionedTable, messages: DataFrame, feed: DataFrame, state_path: str, limit: int | None = None) -> Report:

@@ -40,13 +40,13 @@ _DISTANCE = "list_sum(list_transform(list_zip(CAST(e.embedding AS DOUBLE[]), CAS
 
 
 @query(f"""
-SELECT e.vec_id, 0 AS variant_idx, CAST(row_number() OVER (ORDER BY {_DISTANCE}, e.vec_id) AS INTEGER) AS rank, round({_DISTANCE}, 6) AS distance
-FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q QUALIFY rank <= 10
+SELECT e.vec_id, CAST(q.vec_id AS INTEGER) AS variant_idx, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DISTANCE}, e.vec_id) AS INTEGER) AS rank, round({_DISTANCE}, 6) AS distance
+FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) q QUALIFY rank <= 10
 """)
 def knn_search(spark, d):
-    """The ten nearest vectors of one query vector."""
+    """The ten nearest vectors of each vector whose id is divisible by 20."""
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id = 7").select(F.lit(0).alias("variant_idx"), F.col("embedding").alias("query"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").cast("int").alias("variant_idx"), F.col("embedding").alias("query"))
     return retrieval.knn(e.select("vec_id", "embedding"), q, 10, "vec_id").select("vec_id", "variant_idx", "rank", rounded("distance").alias("distance"))
 
 
@@ -127,21 +127,9 @@ def message_packing(spark, d):
     return chunking.pack_rows(rows, ["conv_id"], ["turn"], t.word_count(F.col("__line")), 250).select("conv_id", "turn", "bin")
 
 
-@query(
-    _FOLD.format(
-        key="source", order="doc_id", name="source", budget=500, words=r"len(regexp_extract_all(text, '\S+'))",
-        table="(SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))",
-    )
-)
+@query(_FOLD.format(key="source", order="doc_id", name="source", budget=500, words=r"len(regexp_extract_all(text, '\S+'))", table="documents"))
 def slide_packing(spark, d):
-    """Bins of labelled texts, packed like the slides of one presentation per source."""
-    rows = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
-    return chunking.pack_rows(rows, ["source"], ["doc_id"], t.word_count(F.col("text")), 500).select("source", "doc_id", "bin")
-
-
-@query()
-def slide_packing_whole(spark, d):
-    """Bins of all texts, labelled or not, packed like the slides of one presentation per source."""
+    """Bins of all texts, packed like the slides of one presentation per source."""
     return chunking.pack_rows(table(spark, d, "documents"), ["source"], ["doc_id"], t.word_count(F.col("text")), 500).select("source", "doc_id", "bin")
 
 
@@ -219,24 +207,11 @@ def chats_with_messages(spark, d):
     return out.select(F.col("chat_row").alias("chat_id"), F.array_join("participants", "|").alias("participants"))
 
 
-@query("""
-WITH l AS (SELECT conv_id, turn, text FROM conversations WHERE turn <= 3)
-SELECT l.conv_id, l.turn, CASE WHEN p.text IS NULL THEN NULL ELSE left(p.text, 50) || '...' END AS reply_to
-FROM l LEFT JOIN l p ON p.conv_id = l.conv_id AND p.turn = 0 AND p.text <> '' AND l.turn > 0
-""")
-def reply_context(spark, d):
-    """Replies to a conversation's first turn, looked up among the rows at hand."""
-    rows = table(spark, d, "conversations").where("turn <= 3")
-    guid = lambda turn: F.concat_ws("-", "conv_id", turn)
-    rows = rows.withColumn("guid", guid(F.col("turn"))).withColumn("parent", F.when(F.col("turn") > 0, guid(F.lit(0))))
-    return messages.with_replies(rows, "guid", "parent", "text", ("turn",)).select("conv_id", "turn", "reply_to")
-
-
 @query("""
 SELECT l.conv_id, l.turn, CASE WHEN p.text IS NULL THEN NULL ELSE left(p.text, 50) || '...' END AS reply_to
 FROM conversations l LEFT JOIN conversations p ON p.conv_id = l.conv_id AND p.turn = 0 AND p.text <> '' AND l.turn > 0
 """)
-def reply_context_whole(spark, d):
+def reply_context(spark, d):
     """Replies to a conversation's first turn, of all turns."""
     guid = lambda turn: F.concat_ws("-", "conv_id", turn)
     rows = table(spark, d, "conversations").withColumn("guid", guid(F.col("turn"))).withColumn("parent", F.when(F.col("turn") > 0, guid(F.lit(0))))
@@ -276,27 +251,12 @@ def change_feed(spark, d):
     return mail.changed_threads(feed, since)
 
 
-@query("""
-WITH b AS (SELECT doc_id, source, n_chars FROM documents WHERE doc_id % 2 = 0),
-d AS (SELECT doc_id, 'new' AS source, n_chars + v AS n_chars, v FROM documents, (VALUES (1), (2)) x(v) WHERE doc_id % 3 = 0)
-SELECT * FROM b WHERE doc_id NOT IN (SELECT doc_id FROM d)
-UNION ALL SELECT doc_id, source, n_chars FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY v DESC) = 1
-""")
-def upsert_last_wins(spark, d):
-    """A base table merged with a delta that has every key twice; the last write wins."""
-    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
-    base = docs.where("doc_id % 2 = 0")
-    v = F.explode(F.array(F.lit(1), F.lit(2)))
-    delta = docs.where("doc_id % 3 = 0").select("doc_id", F.lit("new").alias("source"), v.alias("v"), "n_chars").withColumn("n_chars", F.col("n_chars") + F.col("v"))
-    return merged(base, delta, ["doc_id"], "v")
-
-
 @query("""
 WITH d AS (SELECT doc_id, 'new' AS source, n_chars + v AS n_chars, v FROM documents, (VALUES (1), (2)) x(v) WHERE doc_id % 3 = 0)
 SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM d)
 UNION ALL SELECT doc_id, source, n_chars FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY v DESC) = 1
 """)
-def upsert_last_wins_whole(spark, d):
+def upsert_last_wins(spark, d):
     """All documents merged with a delta that has every third key twice; the last write wins."""
     docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
     v = F.explode(F.array(F.lit(1), F.lit(2)))
@@ -520,3 +480,182 @@ def file_listing(spark, d):
 @query(r"SELECT CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS words FROM documents")
 def total_words(spark, d):
     return files.words_in(table(spark, d, "documents"), "text")
+
+
+def _store(spark, d):
+    """Conversations as a message store: each a chat with one member, who has the address ``h`` and the last digit of its number."""
+    c = table(spark, d, "conversations")
+    guid = lambda turn: F.concat_ws("-", "conv_id", turn)
+    row = (F.col("conv_id") * 1000 + F.col("turn")).alias("ROWID")
+    message = c.select(
+        row, "text", F.col("turn").alias("date"), (F.col("role") == "assistant").cast("int").alias("is_from_me"), (F.col("conv_id") % 10).alias("handle_id"),
+        guid("turn").alias("guid"), F.when(F.col("turn") > 0, guid(F.lit(0))).alias("thread_originator_guid"),
+    )
+    chat_message = c.select(F.col("conv_id").alias("chat_id"), row.alias("message_id"))
+    chats = c.select("conv_id").distinct()
+    chat_handle = chats.select(F.col("conv_id").alias("chat_id"), (F.col("conv_id") % 10).alias("handle_id"))
+    handle = chats.select((F.col("conv_id") % 10).alias("ROWID")).distinct().select("ROWID", F.concat(F.lit("h"), F.col("ROWID").cast("string")).alias("id"))
+    return message, chat_message, chat_handle, handle
+
+
+@query("""
+WITH n AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id % 10 = 3 AND text IS NOT NULL ORDER BY turn DESC, conv_id DESC LIMIT 200)
+SELECT n.conv_id * 1000 + n.turn AS row_id, CASE n.role WHEN 'assistant' THEN 'Me' ELSE 'Them' END AS sender, '2000-12-31 07:00 PM' AS date,
+  CASE WHEN p.text IS NULL OR p.text = '' THEN NULL ELSE left(p.text, 50) || '...' END AS reply_to
+FROM n LEFT JOIN n p ON p.conv_id = n.conv_id AND p.turn = 0 AND n.turn > 0
+""")
+def conversation_lookup(spark, d):
+    """The newest messages of the chats with an address; replies are looked up among them; the limit is the operator's."""
+    message, chat_message, chat_handle, handle = _store(spark, d)
+    return messages.conversation(message, chat_message, chat_handle, handle, "h3", 200).select("row_id", "sender", "date", "reply_to")
+
+
+@query("SELECT conv_id * 1000 + turn AS row_id, 'h' || conv_id % 10 AS handle, text FROM conversations WHERE conv_id = 7 AND trim(text) <> ''")
+def chat_listing(spark, d):
+    """All messages of a chat with the sender's handle."""
+    message, chat_message, _, handle = _store(spark, d)
+    return messages.chat_messages(message, chat_message, handle, 7).select(F.col("ROWID").alias("row_id"), "handle", "text")
+
+
+@query("""
+SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_name END, CASE WHEN c_custkey % 3 = 1 THEN 'a, b' END, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, 'Chat ' || c_custkey) AS label,
+  CASE WHEN c_custkey % 3 = 1 THEN 'group' ELSE 'individual' END AS kind
+FROM customer
+""")
+def chat_labels(spark, d):
+    """Labels of chats by what they have, and groups told from individuals."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    people = F.when(k % 3 == 1, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
+    label = t.chat_label(F.when(k % 3 == 0, F.col("c_name")), people, F.when(k % 2 == 0, F.col("c_mktsegment")), k)
+    return c.select("c_custkey", label.alias("label"), messages.chat_kind(people).alias("kind"))
+
+
+@query("SELECT c_custkey FROM customer WHERE lower(c_mktsegment) LIKE '%build%'")
+def label_filter(spark, d):
+    """Chats whose label contains a text, in either case."""
+    return messages.labelled(table(spark, d, "customer").withColumn("label", F.col("c_mktsegment")), "Build").select("c_custkey")
+
+
+@query("""
+WITH e AS (
+  SELECT 'phone:1555' || CAST(1000000 + c_custkey % 500 AS VARCHAR) AS long, c_name AS name, 0 AS kind, c_custkey AS owner FROM customer WHERE c_custkey % 2 = 0
+), k AS (
+  SELECT long AS key, name, owner * 2 AS place FROM e UNION ALL SELECT 'phone:' || right(long, 10), name, owner * 2 + 1 FROM e
+  UNION ALL SELECT 'email:c' || c_custkey || '@x.example', c_name, c_custkey * 2 FROM customer WHERE c_custkey % 2 = 0
+) SELECT key, arg_min(name, place) AS name FROM k GROUP BY key
+""")
+def contact_stores(spark, d):
+    """Phones and addresses joined with the records of a contact store; owners without a record, and a store that can't be read, give none."""
+    c = table(spark, d, "customer")
+    none = F.lit(None).cast("string")
+    k = F.col("c_custkey")
+    record = c.where("c_custkey % 2 = 0").select(k.alias("Z_PK"), F.col("c_name").alias("ZNAME"), none.alias("ZFIRSTNAME"), none.alias("ZLASTNAME"), none.alias("ZORGANIZATION"))
+    phone = c.select(k.alias("ZOWNER"), F.concat(F.lit("+1 (555) "), (1_000_000 + k % 500).cast("string")).alias("ZFULLNUMBER"))
+    email = c.select(k.alias("ZOWNER"), F.concat(F.lit("C"), k.cast("string"), F.lit("@X.example")).alias("ZADDRESS"))
+    return messages.contacts(messages.contact_entries([(c, c, c), (phone, email, record)]))
+
+
+@query(f"""
+WITH u AS (SELECT page_id, url, regexp_extract(url, '{_SQL_URL}', 1) AS h, rtrim(regexp_extract(url, '{_SQL_URL}', 2), '/') AS s, lower(regexp_extract(url, '{_SQL_URL}', 2)) AS p FROM pages),
+c AS (SELECT *, CASE WHEN h = '' THEN url WHEN s <> '' AND length(s) <= 32 THEN h || s ELSE h END AS compact, h <> '' AND (lower(h) IN ({_HOSTS}) OR {_HINTS}) AS useful FROM u)
+SELECT page_id, 'see ' || CASE WHEN useful THEN compact ELSE '' END || ' or ' || CASE WHEN useful THEN compact ELSE '' END || ' now' AS text FROM c
+""")
+def rewritten_urls(spark, d):
+    """Texts with two addresses each, which are compacted or dropped."""
+    text = F.concat(F.lit("see "), F.col("url"), F.lit(" or "), F.col("url"), F.lit(" now"))
+    return table(spark, d, "pages").select("page_id", t.rewrite_urls(text).alias("text"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE md5(text) END AS digest FROM documents")
+def decoded_bodies(spark, d):
+    """Bodies of mails through base64url and back; every fifth is broken and gives no text."""
+    data = F.when(F.col("doc_id") % 5 == 0, "*not base64*").otherwise(t.encode_base64url(F.col("text")))
+    return table(spark, d, "documents").select("doc_id", F.md5(t.decode_base64url(data)).alias("digest"))
+
+
+@query("SELECT conv_id, turn, role AS subject, 'none' AS date, turn % 2 = 1 AS promotional FROM conversations")
+def mail_headers(spark, d):
+    """Headers of mails by name: the last of a repeated name wins, a missing one has its default."""
+    pair = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
+    some = F.array(pair("Subject", F.lit("first")), pair("From", F.lit("x")), pair("Subject", F.col("role")))
+    more = F.when(F.col("turn") % 2 == 1, F.array(pair("List-Unsubscribe", F.lit("y")))).otherwise(F.array().cast("array<struct<name:string,value:string>>"))
+    h = F.concat(some, more)
+    return table(spark, d, "conversations").select("conv_id", "turn", mail.header(h, "Subject").alias("subject"), mail.header(h, "Date", "none").alias("date"), mail.promotional(h).alias("promotional"))
+
+
+@query("SELECT conv_id * 1000 + turn AS id, 'about ' || role AS subject FROM conversations WHERE contains(lower(text), 'the') OR role = 'system' ORDER BY id LIMIT 50")
+def mail_search(spark, d):
+    """Mails whose snippet or subject contains a text, in scan order; the limit is the operator's."""
+    c = table(spark, d, "conversations")
+    row = F.col("conv_id") * 1000 + F.col("turn")
+    head = F.array(F.struct(F.lit("Subject").alias("name"), F.concat(F.lit("about "), "role").alias("value")))
+    snippet = F.when(F.col("role") == "system", "THE system").otherwise(F.col("text"))
+    rows = c.select(row.alias("seq"), row.alias("id"), F.col("conv_id").alias("thread_id"), head.alias("headers"), snippet.alias("snippet"))
+    return mail.search(rows, "The", 50).select("id", "subject")
+
+
+@query("SELECT user_id AS thread_id, min(event_id) AS first_seq FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id")
+def primary_threads(spark, d):
+    """Threads of the primary inbox in first-seen order."""
+    label = F.when(F.col("event_type").isin("click", "view"), "CATEGORY_PERSONAL").otherwise("CATEGORY_FORUMS")
+    rows = table(spark, d, "events").select(F.array(F.lit("INBOX"), label).alias("labels"), F.col("user_id").alias("thread_id"), F.col("event_id").alias("seq"))
+    return mail.primary_threads(rows)
+
+
+@query("SELECT doc_id AS id, 'Document' AS mimeType FROM documents WHERE contains(lower(text), 'schl') ORDER BY doc_id LIMIT 40")
+def file_search(spark, d):
+    """Files whose text contains a text as it is; the limit is the operator's."""
+    docs = table(spark, d, "documents")
+    rows = docs.select(F.col("doc_id").alias("id"), F.lit("n").alias("name"), F.lit("text/x-own").alias("mimeType"), F.lit("m").alias("modifiedTime"), F.lit("w").alias("webViewLink"), "text")
+    return files.search(rows, "sCHl", 40).select("id", F.lit("Document").alias("mimeType"))
+
+
+@query("SELECT event_id, date_trunc('minute', ts - INTERVAL 5 HOUR) AS parsed FROM events")
+def parsed_dates(spark, d):
+    """Shown minutes of messages read back as local times."""
+    return table(spark, d, "events").select("event_id", t.parse_message_date(t.message_date(F.col("ts").cast("timestamp"))).alias("parsed"))
+
+
+@query("""
+SELECT s_suppkey, 'Calendar: work' || chr(10) || 'Title: ' || CASE WHEN s_suppkey % 4 = 0 THEN 'Untitled event' ELSE s_name END || chr(10) || 'Start: a' || CASE WHEN s_suppkey % 3 = 0 THEN chr(10) || 'Location: hall' ELSE '' END
+  || chr(10) || 'Participants: x, y' AS text FROM supplier
+""")
+def event_texts(spark, d):
+    """Labelled lines of events; what is missing or empty has no line."""
+    k, none = F.col("s_suppkey"), F.lit(None).cast("string")
+    title = F.when(k % 4 == 0, "").otherwise(F.col("s_name"))
+    text = chunking.event_text(F.lit("work"), title, F.lit("a"), F.lit(""), F.when(k % 3 == 0, "hall"), F.array(F.lit("x"), F.lit("y")), none)
+    return table(spark, d, "supplier").select("s_suppkey", text.alias("text"))
+
+
+@query("""
+SELECT conv_id, turn, 'Email from ' || role || ' on today. Subject is s and email summary is sum. ' || text AS mail,
+  'iMessage conversation with ' || role || ' from a to b. Conversation summary: sum. ' || chr(10) || ' ' || text || ' ' AS message,
+  'File: f' || chr(10) || 'Type: ' || role || CASE WHEN turn = 0 THEN '' WHEN turn = 1 THEN chr(10) || 'Section: ttl' ELSE chr(10) || 'Document tab: ttl' END AS file
+FROM conversations
+""")
+def chunk_contexts(spark, d):
+    """What chunks of mails, conversations and files say about where they come from."""
+    lit, turn, none = F.lit, F.col("turn"), F.lit(None).cast("string")
+    title, label = F.when(turn > 0, "ttl"), F.when(turn > 1, "Document tab")
+    return table(spark, d, "conversations").select(
+        "conv_id", "turn",
+        chunking.mail_context(F.col("text"), lit("sum"), F.col("role"), lit("today"), lit("s")).alias("mail"),
+        chunking.message_context(F.col("text"), F.col("role"), lit("a"), lit("b"), lit("sum")).alias("message"),
+        chunking.file_header(lit("f"), F.col("role"), none, none, title, label).alias("file"),
+    )
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN md5('about ' || source || chr(10) || 'in ' || lang) END AS digest FROM documents")
+def tab_sections(spark, d):
+    """Sections of hosted documents with one tab each; every second file has no text and is rejected."""
+    docs = table(spark, d, "documents")
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" about\t"), "source", F.lit("\n\nin "), "lang")).otherwise("")
+    run = F.struct(F.struct(text.alias("content")).alias("textRun"))
+    body = F.struct(F.array(F.struct(F.struct(F.array(run).alias("elements")).alias("paragraph"))).alias("content"))
+    tree = F.to_json(F.struct(F.array(F.struct(F.struct(F.lit("t").alias("tabId"), F.lit("One").alias("title")).alias("tabProperties"), F.struct(body.alias("body")).alias("documentTab"))).alias("tabs")))
+    rows = docs.select("doc_id", F.lit("application/vnd.google-apps.document").alias("mimeType"), F.lit("1").alias("size"), F.encode(tree, "utf-8").alias("content"))
+    read = files.sections(rows)
+    one = F.try_element_at("sections", F.lit(1))
+    good = (one["section_label"] == "Document tab") & (one["section_title"] == "One")
+    return read.select("doc_id", F.when(F.col("error").isNull() & good, F.md5(one["text"])).alias("digest"))

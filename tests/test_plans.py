@@ -189,7 +189,7 @@ def test_backfill_and_search(spark, tmp_path):
     t |= {"messages": rows, "labels": spark.createDataFrame([(1, "Ann")], "conversation_id long, conversation_label string")}
     kept = store.vector_store(spark, str(tmp_path / "v"))
     report = ingest.backfill(spark, kept, t, str(tmp_path / "state.json"))
-    assert {k: r.chunks for k, r in report.items()} == {"gmail": 1, "imessage": 2, "calendar": 4, "drive": 2} and len(report["drive"].rejected) == 3
+    assert {k: r.chunks for k, r in report.items()} == {"gmail": 1, "imessage": 2, "calendar": 4, "drive": 2} and len(report["drive"].rejected) == report["drive"].rejects.count() == 3
     assert store.get_json(spark, str(tmp_path / "state.json")) == {"history_id": "7"} and kept.read().count() == 9
     hit = retrieval.search(spark, kept.read(), "garden and green trees", "imessage", 1).first()
     assert hit.chunk_id == "imessage_1_0_0" and hit.document.startswith("Them: we talk")
@@ -210,7 +210,7 @@ def test_slides_of_all_documents_are_packed(spark):
         bin_, total = (bin_, total + n) if open_ and n <= 500 and total + n <= 500 else (bin_ + 1, n)
         state[r.source] = bin_, total, n <= 500
         want[(r.source, r.doc_id)] = bin_
-    got = {(r.source, r.doc_id): r.bin for r in queries.QUERIES["slide_packing_whole"](spark, DATA).collect()}
+    got = {(r.source, r.doc_id): r.bin for r in queries.QUERIES["slide_packing"](spark, DATA).collect()}
     assert got == want and len(got) == len(docs) > tables.table(spark, DATA, "labels").count()
 
 
@@ -218,9 +218,9 @@ def test_replies_and_upserts_of_all_rows(spark):
     rows = tables.table(spark, DATA, "conversations").collect()
     first = {r.conv_id: r.text for r in rows if r.turn == 0 and r.text}
     want = {(r.conv_id, r.turn): first[r.conv_id][:50] + "..." if r.turn > 0 and r.conv_id in first else None for r in rows}
-    got = queries.QUERIES["reply_context_whole"](spark, DATA).collect()
+    got = queries.QUERIES["reply_context"](spark, DATA).collect()
     assert {(r.conv_id, r.turn): r.reply_to for r in got} == want and len(got) == len(rows) and any(r.turn > 3 for r in got)
     docs = tables.table(spark, DATA, "documents").collect()
     want = {r.doc_id: ("new", r.n_chars + 2) if r.doc_id % 3 == 0 else (r.source, r.n_chars) for r in docs}
-    got = queries.QUERIES["upsert_last_wins_whole"](spark, DATA).collect()
+    got = queries.QUERIES["upsert_last_wins"](spark, DATA).collect()
     assert {r.doc_id: (r.source, r.n_chars) for r in got} == want and len(got) == len(docs)
