@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,11 @@ def words(text: str | None) -> list[str]:
     return found
 
 
+@lru_cache(maxsize=1 << 18)
+def bucket(feature: str) -> int:
+    return zlib.crc32(feature.encode()) % BUCKETS
+
+
 def features(word: str, lexicons: dict[str, int]) -> list[int]:
     """Hashed features of a word: prefixes and suffixes, character bigrams and trigrams, the lexicons that hold it."""
     found = {"b"} | {f"p{word[:k]}" for k in (1, 2, 3)} | {f"s{word[-k:]}" for k in (1, 2, 3, 4)}
@@ -52,7 +58,7 @@ def features(word: str, lexicons: dict[str, int]) -> list[int]:
         found.add(f"l{lexicons[word]}")
     if len(word) <= 4:
         found.add(f"w{word}")
-    return sorted({zlib.crc32(f.encode()) % BUCKETS for f in found})
+    return sorted(set(map(bucket, found)))
 
 
 class Crf:

@@ -64,6 +64,32 @@ def test_likeness_follows_shared_clauses(spark):
     assert abs(near - 0.75) < 0.2 and far < 0.3
 
 
+def plain_fingerprint(text):
+    """The vector by plain sums over paragraphs and clauses."""
+    import struct
+
+    h64 = lambda b, seed=42: xxhash.xxh64_intdigest(b, seed)
+    paragraphs = [h64(p.encode()) for p in text.split("\n") if p]
+    punct = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    clauses = [c for c in re.split(rf"(?<=[{punct}])[ \t\n\x0b\f\r]+|\n", text) if c]
+    clauses = [h64(c.encode()) for c in clauses]
+    out = [sum(h64(struct.pack("<Q", h), h64(struct.pack("<i", k))) for h in paragraphs) % 2**42 for k in range(6)]
+    out.append(len(clauses))
+    for source in (clauses, [h64(struct.pack("<Q", h)) for h in clauses]):
+        for k in range(21):
+            out.append(sum((sum(h >> k + 21 * j & 1 for h in source) % 2**20) << 21 * j for j in range(3)))
+    return out
+
+
+def test_fingerprints_equal_plain_sums(spark):
+    texts = [prose(5, 400), "", "one line", "a b. c\n\n  d e, f\na b. c\n", "no end of it the sea we are", "日本語文字 も here", "x" * 50 + " 12 é ü", None]
+    rows = [(i, a, texts[-1 - i]) for i, a in enumerate(texts)]
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    got = {r.i: r for r in fingerprints.fingerprints(df, ["i"], ["a", "b"]).collect()}
+    for i, a, b in rows:
+        assert got[i].a_fp == plain_fingerprint(a or "") and got[i].b_fp == plain_fingerprint(b or "")
+
+
 # 2: secrets
 
 
