@@ -71,15 +71,22 @@ def ranked(df: DataFrame, *order) -> tuple[DataFrame, int]:
     return placed.withColumn("rank", F.element_at(offsets, (part + 1).cast("int")) + at_row).drop("__at"), total
 
 
-def interval(value: Column, cuts: list) -> Column:
-    """Number of sorted cuts that are at most ``value`` (null: 0), by halving; the expression stays small for many cuts."""
+def interval(value: Column, cuts: list, tie: Column | None = None, ties: list | None = None) -> Column:
+    """Number of sorted cuts that are at most ``value`` (null: 0), by halving; the expression stays small for many cuts.
+
+    With ``ties``, cuts are pairs with one of them each, and so are the values with ``tie``.
+    """
     if not cuts:
         return F.lit(0)
     table = F.array(*[F.lit(c) for c in cuts])
     halves = F.array(*[F.lit(1 << b) for b in range(len(cuts).bit_length() - 1, -1, -1)])
+    if ties:
+        second = F.array(*[F.lit(c) for c in ties])
 
     def climb(at: Column, step: Column) -> Column:
         up = at + step
-        return F.when((up <= len(cuts)) & (F.try_element_at(table, up) <= value), up).otherwise(at)
+        cut = F.try_element_at(table, up)
+        reached = (cut < value) | ((cut == value) & (F.try_element_at(second, up) <= tie)) if ties else cut <= value
+        return F.when((up <= len(cuts)) & reached, up).otherwise(at)
 
     return F.coalesce(F.aggregate(halves, F.lit(0), climb), F.lit(0))

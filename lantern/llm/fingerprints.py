@@ -18,6 +18,8 @@ and are reduced between the blocks, so lanes never run over, however long a text
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ BLOCK = 1 << 20
 CLAUSE = r"(?<=\p{Punct})\s+|\n"
 #: Buckets per shuffle partition when a text is paired with its neighbour, and the most cut points the driver holds.
 BUCKETS_PER_PARTITION, MOST_BUCKETS = 4, 20_000
+#: Rows, about, that show where to split frequent keys, and the characters of a tie that tell their rows apart there.
+SAMPLED, TIE_CHARS = 1 << 15, 200
 
 
 def _long(n: int) -> Column:
@@ -138,32 +142,66 @@ def as_text(vector: Column) -> Column:
     return F.array_join(F.transform(vector, lambda v: F.lower(F.lpad(F.hex(v), 16, "0"))), "")
 
 
-def with_next(df: DataFrame, key: str, order: list[Column], values: list[str]) -> DataFrame:
+def _tie_cuts(df: DataFrame, place: Column, head: Column, parts: dict[int, int]) -> list[tuple[int, str]]:
+    """Cut points (key, head of the tie) that split each frequent key into about as many parts as stated.
+
+    They come from some SAMPLED rows at random, so the driver's share is bounded; results don't depend on them.
+    """
+    rows = df.select(place.alias("k"), head.alias("t")).where(F.col("k").isin(list(parts)))
+    share = SAMPLED / max(1, rows.count())
+    some: dict[int, list[str]] = {k: [] for k in parts}
+    for r in rows.where(F.rand(SAMPLED) < share).collect():
+        some[r["k"]].append(r["t"])
+    cuts = []
+    for k, texts in some.items():
+        texts.sort(key=str.encode)
+        cuts += [(k, texts[len(texts) * i // parts[k]]) for i in range(1, parts[k]) if texts]
+    return cuts
+
+
+def with_next(df: DataFrame, key: str, tie: str, values: list[str]) -> DataFrame:
     """Pair each row with the one that follows in descending ``key`` (after the last row: the first).
 
     Adds ``next_<value>``, and ``bucket``, ``place`` and ``extra``: rows are dealt into buckets, ranges of the key by
     approximate quantiles, and a bucket's first row is dealt to the bucket before it too, as an ``extra`` row at its end. So one
-    shuffle serves all rows and no task holds more than some buckets. The driver holds one key per bucket. Rows with
-    equal keys follow ``order``; a null key comes last. The caller drops rows where ``extra`` is 1.
+    shuffle serves all rows and no task holds more than some buckets. The driver holds one place per bucket. Rows with
+    equal keys are in descending order of ``tie``, a string that is never null; a null key comes last. A key that holds several
+    quantiles is split by the first TIE_CHARS characters of the tie too. The caller drops rows where ``extra`` is 1.
     """
     spark = df.sparkSession
     n = min(MOST_BUCKETS, BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
     place = F.coalesce(F.col(key), _long(-(1 << 63)))
-    keys = df.select(place.alias("k"))
-    cuts = keys.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-    heads = keys.groupBy(interval(F.col("k"), cuts).alias("b")).agg(F.max("k").alias("head")).collect()
-    heads = sorted((r["b"], r["head"]) for r in heads)
-    before = {h: heads[i + 1][0] if i + 1 < len(heads) else heads[0][0] for i, (_, h) in enumerate(heads)} or {0: 0}
-    also = F.element_at(F.create_map(*[x for h, b in before.items() for x in (_long(h), F.lit(b))]), F.col("__k"))
-    own = F.struct(F.col("__b").alias("b"), F.lit(0).alias("extra"))
-    both = F.array(own, F.struct(also.alias("b"), F.lit(1).alias("extra")))
-    placed = df.withColumn("__k", place).withColumn("__b", interval(F.col("__k"), cuts))
-    dealt = placed.withColumn("__to", F.explode(F.when(F.col("__k").isin(list(before)), both).otherwise(F.array(own))))
-    dealt = dealt.select("*", F.col("__to.b").alias("bucket"), F.col("__to.extra").alias("extra"))
-    w = Window.partitionBy("bucket").orderBy("extra", F.col("__k").desc(), *order)
+    found = Counter(df.agg(F.percentile_approx(place, [i / n for i in range(1, n)], 10 * n)).first()[0] or [])
+    frequent = {k: c for k, c in found.items() if c > 1}
+    # Without frequent keys the tie is not needed to deal rows out, so the scans for the cuts don't read it.
+    head = F.substring(tie, 1, TIE_CHARS) if frequent else F.lit("")
+    cuts = {(k, "") for k in found}
+    if frequent:
+        cuts.update(_tie_cuts(df, place, head, frequent))
+    cuts = sorted(cuts, key=lambda c: (c[0], c[1].encode()))
+    ties = [t for _, t in cuts] if frequent else None
+    bucket = interval(F.col("__k"), [k for k, _ in cuts], F.col("__t"), ties)
+    placed = df.withColumn("__k", place).withColumn("__t", head)
+    heads = placed.groupBy(bucket.alias("b")).agg(F.max(F.struct("__k", "__t")).alias("head")).collect()
+    heads = {r["b"]: tuple(r["head"]) for r in heads}
+    filled = sorted(heads)
+    before = {b: filled[(i + 1) % len(filled)] for i, b in enumerate(filled)}
+
+    def stated(of: dict, default: Column) -> Column:
+        """The bucket's entry."""
+        return F.element_at(F.array(*[F.lit(of[b]) if b in of else default for b in range(len(cuts) + 1)]), F.col("__b") + 1)
+
+    placed = placed.withColumn("__b", bucket)
+    leads = stated({b: k for b, (k, _) in heads.items()}, F.lit(None).cast("long")) == F.col("__k")
+    if frequent:
+        leads &= stated({b: t for b, (_, t) in heads.items()}, F.lit(None).cast("string")) == F.col("__t")
+    once = F.struct(F.col("__b").alias("b"), F.lit(0).alias("extra"))
+    twice = F.array(once, F.struct(stated(before, F.lit(0)).alias("b"), F.lit(1).alias("extra")))
+    dealt = placed.withColumn("__to", F.explode(F.when(leads, twice).otherwise(F.array(once))))
+    dealt = dealt.select("*", F.col("__to.b").alias("bucket"), F.col("__to.extra").alias("extra")).drop("__t", "__b", "__to")
+    w = Window.partitionBy("bucket").orderBy("extra", F.col("__k").desc(), F.col(tie).desc())
     out = dealt.select("*", F.row_number().over(w).alias("place"), *[F.lead(v).over(w).alias(f"next_{v}") for v in values])
-    return out.drop("__k", "__b", "__to")
+    return out.drop("__k")
 
 
 def fingerprint_documents(documents: DataFrame) -> DataFrame:
@@ -174,7 +212,7 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
     an empty table gives no rows; only doc_id and text are read.
     """
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pairs = with_next(rows, "doc_id", [F.col("text").desc()], ["text"])
+    pairs = with_next(rows, "doc_id", "text", ["text"])
     half = "cast(char_length(text) div 2 as int)"
     edited = F.concat(F.expr(f"left(text, char_length(text) - {half})"), F.coalesce(F.expr(f"left(next_text, {half})"), F.lit("")))
     pairs = pairs.withColumn("edited", edited)

@@ -44,6 +44,19 @@ def test_fingerprints_of_edited_texts(odd):
     assert of[1] == of[2] != of[3] and of[4] == of[5]
 
 
+def test_pairing_splits_a_hot_key(spark):
+    same = "the same long start of many texts " * 8
+    rows = [(None if i % 3 else i, (same if i % 5 == 0 else "") + f"text {i * 7919 % 2000} 日本 🎉") for i in range(2000)]
+    rows += [(7, None), (7, ""), (7, same), (7, same)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = fingerprints.with_next(df.repartition(5), "doc_id", "text", ["text"]).where("extra = 0").collect()
+    order = sorted(((d is not None, d or 0, t or "") for d, t in rows), key=lambda r: (r[0], r[1], r[2].encode()), reverse=True)
+    want = collections.Counter((d if some else None, t, order[(i + 1) % len(order)][2]) for i, (some, d, t) in enumerate(order))
+    assert collections.Counter((r.doc_id, r.text, r.next_text) for r in out) == want
+    sizes = collections.Counter(r.bucket for r in out)
+    assert len(sizes) > 8 and max(sizes.values()) < 500  # 1,333 rows have no doc_id, 267 of them one start of over 200 characters
+
+
 def test_fingerprints_are_homomorphic(spark):
     df = spark.createDataFrame([("a b, c\nd\ne", "e\nd", "a b, c", "d\na b, c\ne", 1)], "f string, g string, h string, k string, i int")
     got = fingerprints.fingerprints(df, ["i"], ["f", "g", "h", "k"])
