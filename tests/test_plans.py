@@ -2,7 +2,12 @@
 
 import base64
 import json
+import os
+import subprocess
+import sys
+from pathlib import Path
 
+import pyspark
 from pyspark.sql import functions as F
 
 from lantern import queries
@@ -224,3 +229,33 @@ def test_replies_and_upserts_of_all_rows(spark):
     want = {r.doc_id: ("new", r.n_chars + 2) if r.doc_id % 3 == 0 else (r.source, r.n_chars) for r in docs}
     got = queries.QUERIES["upsert_last_wins"](spark, DATA).collect()
     assert {r.doc_id: (r.source, r.n_chars) for r in got} == want and len(got) == len(docs)
+
+
+CLUSTER = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").getOrCreate()
+from pyspark.sql import functions as F
+import __spark_entry__ as e
+from lantern.functions import markup
+query = e._with_workers(lambda s, d: s.createDataFrame([("<p>a</p><p>b</p>",)], "t string").select(markup.html_text_udf(F.col("t"))))
+for _ in range(2):
+    print("rows", query(spark, "").count(), query(spark, "").first()[0].split())
+spark.stop()
+"""
+
+
+def test_workers_of_a_cluster_get_the_package(tmp_path):
+    """Neither the working folder nor the environment leads the executors to the package."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_ENV_LOADED")} | {"SPARK_LOCAL_IP": "127.0.0.1", "SPARK_SCALA_VERSION": "2.13"}
+    # Executors of this master work in Spark's home, here one of links.
+    for part in Path(pyspark.__file__).parent.iterdir():
+        if part.name != "work":
+            (tmp_path / "home").mkdir(exist_ok=True)
+            (tmp_path / "home" / part.name).symlink_to(part)
+    env["SPARK_HOME"] = str(tmp_path / "home")
+    (tmp_path / "script.py").write_text(CLUSTER.format(root=root))
+    run = subprocess.run([sys.executable, "script.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert run.stdout.split("\n")[:2] == ["rows 1 ['a', 'b']"] * 2, run.stderr[-3000:]
