@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lantern.llm import language, lines, packing, secrets, simhash
 from lantern.llm.common import checkpointed, fresh
+from lantern.ship import ship
 
 #: A document needs a language, held with at least this mean probability over its words.
 LEAST_SCORE = 0.4
@@ -81,6 +82,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
