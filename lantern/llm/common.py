@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of an Arrow batch that is sent to a worker. Spark's own limit is 10,000 rows, whatever their length: 40 MB of documents, and buffers that double up to twice that beside the heap.
+BATCH_BYTES = "4m"
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` over batches of ``BATCH_BYTES`` or one row; a limit that the session has stays.
+
+    The limit is the session's from then on, as Spark reads it when the plan runs. A worker that is kept for later tasks gives back
+    what Arrow holds and doesn't use.
+    """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(limit, None) is None:
+        df.sparkSession.conf.set(limit, BATCH_BYTES)
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(freed, schema)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete the files of checkpoints that nothing reads any more, and let the driver drop shuffles that nothing refers to.
 

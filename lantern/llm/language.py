@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lantern.llm.common import mapped
+
 UNKNOWN = "und"
 #: Documents that training takes of each language at most, whole, and languages at most.
 SAMPLE, MOST_LANGUAGES = 80, 1000
@@ -257,7 +259,7 @@ def labelled(documents: DataFrame, crf: Crf, lang: str = "lang_pred", score: str
                 cols = [*part.columns, pa.array([g[0] for g in got]), pa.array([g[1] for g in got], pa.float64())]
                 yield pa.RecordBatch.from_arrays(cols, [*part.schema.names, lang, score])
 
-    return documents.select("text", *names).mapInArrow(run, schema)
+    return mapped(documents.select("text", *names), run, schema)
 
 
 def identify(documents: DataFrame) -> DataFrame:

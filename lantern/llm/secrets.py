@@ -17,6 +17,8 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
+from lantern.llm.common import mapped
+
 KINDS = ("assign", "access", "hex", "token")
 #: Fixed patterns of the base spans.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -144,7 +146,7 @@ def scan_documents(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     null doc_id is carried along; an empty table gives no rows. No shuffle; a text is scanned in one piece, so memory is bounded by a batch of texts, however long.
     """
     ranks = documents.sparkSession.sparkContext.broadcast(vocabulary(path))
-    return documents.select("doc_id", "text").mapInArrow(_batches(ranks, pattern, _report), SCHEMA)
+    return mapped(documents.select("doc_id", "text"), _batches(ranks, pattern, _report), SCHEMA)
 
 
 def redact_documents(documents: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -157,5 +159,5 @@ def redact_documents(documents: DataFrame, path: str, pattern: str) -> DataFrame
     ranks = spark.sparkContext.broadcast(vocabulary(path))
     rest = [c for c in documents.columns if c not in ("text", "n_chars")]
     schema = ", ".join(["text string", "n_chars long", *[f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in rest]])
-    out = documents.select("text", *[documents[c] for c in rest]).mapInArrow(_batches(ranks, pattern, _redacted), schema)
+    out = mapped(documents.select("text", *[documents[c] for c in rest]), _batches(ranks, pattern, _redacted), schema)
     return out.select(*[c for c in documents.columns])

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.common import checkpointed, fresh, release
+from lantern.llm.common import checkpointed, fresh, mapped, release
 
 SEED, BITS, SEGMENTS = 42, 64, 16
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -79,7 +79,7 @@ def fingerprint_batches(width: int):
 
 def fingerprints(documents: DataFrame, width: int) -> DataFrame:
     """(doc_id, fp) of every text; fp holds the 64 bits as a signed long."""
-    return documents.select("doc_id", "text").mapInArrow(fingerprint_batches(width), "doc_id long, fp long")
+    return mapped(documents.select("doc_id", "text"), fingerprint_batches(width), "doc_id long, fp long")
 
 
 def segment_counts(fp: Column, segments: int = SEGMENTS) -> Column:
@@ -242,7 +242,7 @@ def _set_hashes(width: int):
 def frequent_shingles(documents: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, of shingles that are frequent in a sample, and their ranks by frequency. Results don't depend on them, but costs do."""
     sample = documents.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLED)) == 0).select("text")
-    counts = sample.mapInArrow(_set_hashes(width), "gram long").groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    counts = mapped(sample, _set_hashes(width), "gram long").groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
     top = counts.orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).toArrow()
     grams = top["gram"].to_numpy().astype(np.uint64)
     order = np.argsort(grams)
@@ -301,7 +301,7 @@ class _Texts:
         same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("one") == F.col("o")) & (F.col("two") == F.col("t"))
         # Rows that repeat one another bring their set several times; one is enough.
         texts = self.rows.join(wanted, same).select("rep", "text").dropDuplicates(["rep"])
-        sets = checkpointed(texts.mapInArrow(_shingle_sets(self.width), "rep long, grams array<long>"))
+        sets = checkpointed(mapped(texts, _shingle_sets(self.width), "rep long, grams array<long>"))
         one, two = sets.select(F.col("rep").alias("a"), F.col("grams").alias("x")), sets.select(F.col("rep").alias("b"), F.col("grams").alias("y"))
         common = F.size(F.array_intersect("x", "y"))
         union = F.size("x") + F.size("y") - common
@@ -336,7 +336,7 @@ def similar_sets(documents: DataFrame, width: int = WIDTH, similarity: float = S
     """
     frequent = documents.sparkSession.sparkContext.broadcast(frequent_shingles(documents, width))
     rows = documents.select("doc_id", *_row_hashes(), "text")
-    sketches = checkpointed(rows.mapInArrow(_sketches(width, similarity, frequent), SKETCH))
+    sketches = checkpointed(mapped(rows, _sketches(width, similarity, frequent), SKETCH))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "one", "two")
     distinct = sketches.groupBy("th").agg(F.min(row).alias("least"), *[F.any_value(c).alias(c) for c in ("fp", "n", "keys")])
     whole = checkpointed(distinct.withColumn("rep", F.monotonically_increasing_id()))
