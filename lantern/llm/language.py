@@ -14,6 +14,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ CHAIN = 128
 LEXICON = 200
 EPOCHS, RATE, DECAY, SWITCH = 4, 0.3, 1e-5, 16
 STORE = 300_000
+#: New words that are scored at once.
+BLOCK = 8192
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
 #: Longer runs of letters are cut into consecutive words of this many characters.
 LONGEST = 40
@@ -63,6 +66,60 @@ def features(word: str, lexicons: dict[str, int]) -> list[int]:
     return sorted(set(map(bucket, found)))
 
 
+def _remainders() -> np.ndarray:
+    """CRC-32 of every byte."""
+    r = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        r = (r >> 1) ^ (r & 1) * np.uint32(0xEDB88320)
+    return r
+
+
+REMAINDERS = _remainders()
+
+
+def _begun(text: str) -> np.uint32:
+    """State of CRC-32 after a text."""
+    return np.uint32(zlib.crc32(text.encode()) ^ 0xFFFFFFFF)
+
+
+def _followed(states: np.ndarray, raw: np.ndarray, at: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """States of CRC-32 after one more character each, whose ``wide`` bytes of ``raw`` begin ``at``."""
+    out = REMAINDERS[(states ^ raw[at]) & 255] ^ (states >> 8)
+    for j in range(1, int(wide.max())):
+        more = wide > j
+        s = out[more]
+        out[more] = REMAINDERS[(s ^ raw[at[more] + j]) & 255] ^ (s >> 8)
+    return out
+
+
+def features_of_length(found: list[str], n: int, lexicons: dict[str, int]) -> np.ndarray:
+    """``features`` of words that have ``n`` characters each, all at once: a row of sorted buckets for each, repeats and -1 (none) included."""
+    raw = np.frombuffer(("<" + "><".join(found) + ">").encode(), np.uint8)
+    starts = np.flatnonzero((raw & 0xC0) != 0x80)
+    wide = np.diff(starts, append=len(raw)).reshape(len(found), n + 2)
+    at = starts.reshape(len(found), n + 2)
+
+    def follow(states: np.ndarray, first: int, last: int) -> np.ndarray:
+        return _followed(states, raw, at[:, first:last], wide[:, first:last])
+
+    def run(kind: str, first: int, last: int) -> list[np.ndarray]:
+        """States after the kind and one, two and more characters, up to the last."""
+        out = [np.full((len(found), 1), _begun(kind))]
+        for i in range(first, last):
+            out.append(follow(out[-1], i, i + 1))
+        return out[1:]
+
+    prefixes = run("p", 1, 1 + min(3, n))
+    suffixes = [run("s", n + 1 - k, n + 1)[-1] for k in range(1, min(4, n) + 1)]
+    pairs = follow(follow(np.full((len(found), n + 1), _begun("g")), 0, n + 1), 1, n + 2)
+    short = run("w", 1, n + 1)[-1:] if n <= 4 else []
+    hashed = (np.concatenate([*prefixes, *suffixes, pairs, follow(pairs[:, :n], 2, n + 2), *short], axis=1) ^ np.uint32(0xFFFFFFFF)) % BUCKETS
+    held = [bucket(f"l{lexicons[w]}") if w in lexicons else -1 for w in found]
+    ids = np.concatenate([hashed.astype(np.int32), np.array(held, np.int32)[:, None], np.full((len(found), 1), bucket("b"), np.int32)], axis=1)
+    ids.sort(axis=1)
+    return ids
+
+
 class Crf:
     """Weights of the chain. ``langs`` are the labels, in order."""
 
@@ -78,18 +135,29 @@ class Crf:
         store = self.store
         if len(store) > STORE:
             store.clear()
-        ids = list(map(store.get, tokens))
-        if None in ids:
-            for k, w in enumerate(tokens):
-                if ids[k] is None:
-                    n = store.get(w)
-                    if n is None:
-                        n = store[w] = len(store)
-                        if n >= len(self.rows):
-                            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                        self.rows[n] = self.weights[features(w, self.lexicons)].sum(axis=0)
-                    ids[k] = n
-        return self.rows[np.array(ids, np.int64)] if ids else np.zeros((0, len(self.langs)), np.float32)
+        new = list(dict.fromkeys(filterfalse(store.__contains__, tokens)))
+        for at in range(0, len(new), BLOCK):
+            part, n = new[at : at + BLOCK], len(store)
+            if n + len(part) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros((max(len(part), len(self.rows)), len(self.langs)), np.float32)])
+            self.rows[n : n + len(part)] = self.scored(part)
+            store.update(zip(part, range(n, n + len(part)), strict=True))
+        return self.rows[np.array(list(map(store.__getitem__, tokens)), np.int64)]
+
+    def scored(self, found: list[str]) -> np.ndarray:
+        """Sum of the weights of every word's features, each bucket once and in order, over all words of one length at a time."""
+        out = np.zeros((len(found), len(self.langs)), np.float32)
+        sizes = np.array(list(map(len, found)), np.int64)
+        for n in np.unique(sizes):
+            of = np.flatnonzero(sizes == n)
+            ids = features_of_length([found[i] for i in of], int(n), self.lexicons)
+            counts = ids >= 0
+            counts[:, 1:] &= ids[:, 1:] != ids[:, :-1]
+            total = np.zeros((len(of), len(self.langs)), np.float32)
+            for j in range(ids.shape[1]):
+                total += self.weights[ids[:, j]] * counts[:, j, None]
+            out[of] = total
+        return out
 
     def marginals(self, potentials: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Probabilities (chains, places, languages) by forward-backward over chains that are padded to one length."""
